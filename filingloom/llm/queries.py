@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingloom.llm import bpe, langid, tiff
+from filingloom.llm import bpe, fingerprint, langid, neardup, tiff
 from filingloom.llm.common import make_importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_pictures(table(spark, sf_dir, "documents"))
 
@@ -31,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op9_tiff, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_near_duplicates, op9_tiff, op10_bpe)}
 ORACLES: dict[str, str] = {}
 
 
