@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingloom.llm import bpe, fingerprint, langid, neardup, tiff
-from filingloom.llm.common import make_importable, table
+from filingloom.llm import bpe, fingerprint, langid, mixing, neardup, oracles, tiff, urltree, warc
+from filingloom.llm.common import Scratch, make_importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "mix").write).taken()
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_pictures(table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_near_duplicates, op9_tiff, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_near_duplicates, op4_mixing, op7_warc, op8_url_filter, op9_tiff, op10_bpe)}
+ORACLES = oracles.ORACLES
 
 
 def queries() -> dict[str, Query]:
