@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingloom.llm import bpe, fingerprint, langid, licenses, mixing, neardup, oracles, tiff, urltree, warc
+from filingloom.llm import bpe, fingerprint, langid, licenses, mixing, neardup, oracles, pii, tiff, urltree, warc
 from filingloom.llm.common import Scratch, make_importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_near_duplicates, op4_mixing, op5_licenses, op7_warc, op8_url_filter, op9_tiff, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_near_duplicates, op4_mixing, op5_licenses, op6_pii, op7_warc, op8_url_filter, op9_tiff, op10_bpe)}
 ORACLES = oracles.ORACLES
 
 
