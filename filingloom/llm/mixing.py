@@ -124,10 +124,14 @@ class Mix:
         self.keep = keep
         self.schedule = schedule(self.targets.select("n", "target"), self.slots)
 
+    def placed(self) -> DataFrame:
+        """Documents with words, laid on their source's line: ``n, order, start, size`` and the kept columns."""
+        named = self.rows.alias("r").join(self.targets.select("source", "n", "source_size", "target").alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
+        return lines(named).where("size > 0")
+
     def pieces(self) -> DataFrame:
         """Documents cut at block bounds: ``n, block, order, start, size, words`` and the kept columns."""
-        named = self.rows.alias("r").join(self.targets.select("source", "n", "source_size", "target").alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
-        placed = lines(named).where("size > 0")
+        placed = self.placed()
         first, last = F.floor(F.col("start") / self.block), F.floor((F.col("start") + F.col("size") - 1) / self.block)
         cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
         own = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block) - F.greatest(F.col("start"), F.col("block") * self.block)
