@@ -9,23 +9,24 @@
    passage that thousands of documents share is not among the rarest values of
    any of them, a value with one holder makes no list, and a class whose
    rarest values all stand alone has no partner.
-3. Within a list the overlap is generated against a hub (the least class by a
-   seeded order) for a few rounds; the sketch of the union estimates the
+3. Within a list the overlap is generated against a hub (the class whose values
+   have most holders, then others by a seeded order) for a few rounds; the sketch of the union estimates the
    similarity, and what passes is verified by exact Jaccard on full sets.
    Verified links merge classes, and lists whose classes have all merged are
    finished.  What is left, pairs of unmerged classes in a common list, is
    compared completely, block of a list against block, with the estimate
-   computed in the block, so no list's pairs are ever emitted.
+   computed in the block from finer sketches, so no list's pairs are ever emitted.
 4. Components of the verified links give the result.
 
 No link between different classes is lost but with the probability that two
-sketches of alike sets share less than half (below 1e-8 a pair at k = 64 and
+sketches of alike sets share less than half (below 1e-7 a pair at k = 48 and
 similarity 0.8) or that a union sketch is off by more than ``SLACK`` (five
 standard errors).
 
 Defined cases: without words or text a row has an empty set, size 0 and is its
 own component; rows with a null id are listed, but link nothing and are their own
-(null) component, kept; repeated rows are equal and share component and kept
+(null) component, kept; rows that share an id are one document (each text's links
+count for the id); repeated rows are equal and share component and kept
 flag; extra input columns are ignored.
 """
 
@@ -43,15 +44,24 @@ from filingloom.llm import shingles
 from filingloom.llm.common import Scratch, slices
 from filingloom.llm.components import connected
 
-K = 64
-SLACK = 0.25
+K = 48
+SLACK = 0.3
+"""How far an estimate may lie below: five standard errors of the coarse sketch, as many of the fine one."""
+FINE = 256
+"""Values of the sketch that the complete comparison uses, 32 bits each."""
 BLOCK = 128
 """Classes of a list in one block of the complete comparison."""
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
+NOWHERE = np.iinfo(np.int64).max
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 27
 """Size of the filter on ids for the second reading: 16 MB at most."""
 
 
+def key_of(members: np.ndarray) -> bytes | None:
+    """A digest of a whole set; None for the empty one."""
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
     """``id, n, key, sketch`` of each row; key is a digest of the whole set, null when empty."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -60,35 +70,35 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, k: in
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 found = shingles.sets(part.column(1).to_pylist(), width)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+                keys = [key_of(s) for s in found]
                 heads = [s[:k].astype(np.int64) for s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "key", "sketch"])
 
     return source.mapInArrow(run, "id bigint, n bigint, key binary, sketch array<bigint>")
 
 
-def bit_filter(ids: DataFrame, scratch_bits: int) -> tuple[np.ndarray, int]:
+def bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A bitmap over a hash of the ids: 4 KB pieces built on the executors, bounded in size."""
-    n = scratch_bits
-    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("h")).groupBy((F.col("h") / 32768).cast("int").alias("piece")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()
-    out = np.zeros(n // 8, np.uint8)
+    hashed = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("h"))
+    rows = hashed.groupBy((F.col("h") / 32768).cast("int").alias("piece")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out, n
+    return out
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``key, members`` (full sets) of the classes in ``wanted`` (id, key), from a second reading of their texts.
+def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``id, members`` (full sets) of the classes in ``wanted`` (id, key), from a second reading of their texts.
 
     A bounded bitmap of the wanted ids keeps most other texts from being
-    hashed again; the join on id then is exact.
+    hashed again; the join on id and key then is exact.
     """
     count = wanted.count()
     bits = MIN_FILTER_BITS
     while bits < 16 * count and bits < MAX_FILTER_BITS:
         bits *= 2
-    bitmap, n = bit_filter(wanted, bits)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(n)).alias("h"))
+    bitmap = bit_filter(wanted, bits)
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(bits)).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +106,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, *, id_col: s
             batch = batch.filter(pa.array((bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1, 2 << 20):
                 found = shingles.sets(part.column(1).to_pylist(), width)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+                keys = [key_of(s) for s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "key", "members"])
 
     found = source.mapInArrow(run, "id bigint, key binary, members array<bigint>")
-    return found.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "members")
+    return found.join(wanted, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("members").alias("members")).select("id", "members")
 
 
 def estimate(k: int) -> Column:
@@ -110,26 +120,42 @@ def estimate(k: int) -> Column:
     return F.size(F.array_intersect(common, union)) / F.size(union)
 
 
+def short_values(values: Column) -> Column:
+    """The upper 32 of 63 bits of ascending values, as little-endian bytes."""
+    four = F.transform(values, lambda v: F.substring(F.hex(F.shiftright(v, 31)), -8, 8))
+    padded = F.transform(four, lambda h: F.lpad(h, 8, "0"))
+    turned = F.transform(padded, lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
+    return F.unhex(F.array_join(turned, ""))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (a, b) of class keys, those whose sets are alike."""
-    a = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    """Of pairs (a, b) of classes, those whose sets are alike."""
+    a = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.where(estimate(k) >= percent / 100 - SLACK).select("a", "b", "na", "nb")
-    both = near.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("ma", "mb")))
-    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    near = near.where(estimate(k) >= percent / 100 - SLACK).select("a", "b")
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+    both = both.select("a", "b", (F.size("ma") + F.size("mb")).alias("total"), F.size(F.array_intersect("ma", "mb")).alias("common"))
+    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
 def inverted(classes: DataFrame) -> DataFrame:
-    """``value, key``: each class under its rarest retained values, without values of one holder."""
-    held = classes.select("key", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    """``value, id, weight, listed``: each class under its rarest retained values, without values of one holder.
+
+    ``listed`` repeats all the class's values here.  ``weight`` is the sum of
+    the logarithms of its values' holders: copies of one text each hold a few
+    values of their own, the text that they were made from holds none, so the
+    heaviest class of a list is its natural hub.
+    """
+    held = classes.select("id", F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    listed = held.join(common, "value")
-    grouped = listed.groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("own"))
+    grouped = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("own"))
+    grouped = grouped.join(classes.select("id", F.size("sketch").alias("size")), "id")
     # size - size(own) values stand alone; they are the rarest and take their part of the prefix.
     taken = F.col("size") - F.ceil(F.col("size") / 2) + 1 - (F.col("size") - F.size("own"))
-    return grouped.where(taken > 0).select("key", F.explode(F.slice("own", F.lit(1), taken.cast("int"))).alias("x")).select(F.col("x.value").alias("value"), "key")
+    weight = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.log(x["holders"])) / F.col("size")
+    few = grouped.where(taken > 0).select("id", F.round(weight, 6).alias("weight"), F.slice("own", F.lit(1), F.greatest(taken, F.lit(0)).cast("int"))["value"].alias("listed"))
+    return few.select(F.explode("listed").alias("value"), "id", "weight", "listed")
 
 
 def _unfinished(lists: DataFrame) -> DataFrame:
@@ -138,82 +164,108 @@ def _unfinished(lists: DataFrame) -> DataFrame:
     return lists.join(ends.select("value"), "value")
 
 
-def _blocks(lists: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Every pair (a, b) of one list and two components that passes the estimate, block against block."""
-    sized = lists.groupBy("value").agg(F.count("*").alias("m"))
-    rows = lists.join(sized, "value").join(classes.select("key", "n", "sketch"), "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key", "value"), F.col("blocks")).cast("int"))
-    blocks = rows.groupBy("value", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "n", "sketch")).alias("rows"))
-    left = blocks.select("value", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    right = blocks.select("value", F.col("block").alias("j"), F.col("rows").alias("y"))
-    tasks = left.join(right, ["value", "j"]).select("i", "j", "x", "y")
+def _blocks(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of one list and two components that passes the estimate, block against block.
+
+    Within a list the classes outside its largest component are compared with
+    all others.  A pair is compared only in the first of the lists it shares.
+    """
+    parts = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy("value").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    rows = lists.join(main, "value").join(classes.select("id", "n", "fine"), "id")
+    row = F.struct("id", "component", "n", "fine", "listed")
+
+    def cut(part: DataFrame, size: Column, block: str, rows_: str) -> DataFrame:
+        blocks = F.ceil(size / BLOCK).cast("int")
+        part = part.withColumn(block, F.pmod(F.xxhash64("id", "value"), blocks).cast("int"))
+        return part.groupBy("value", block).agg(F.collect_list(row).alias(rows_), F.first(F.ceil(F.col("all") / BLOCK).cast("int")).alias("blocks"))
+
+    left = cut(rows.where("component <> main"), F.col("all") - F.col("most"), "i", "x")
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = cut(rows, F.col("all"), "j", "y").drop("blocks")
+    tasks = left.join(right, ["value", "j"]).select("value", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in range(batch.num_rows):
-                same = batch.column(0)[t].as_py() == batch.column(1)[t].as_py()
-                x, y = batch.column(2)[t].as_py(), batch.column(3)[t].as_py()
+                value, x, y = (batch.column(c)[t].as_py() for c in range(3))
+                minor = {r["id"] for r in x}
+                fine = [np.frombuffer(s["fine"], "<u4") for s in y]
+                grid = np.full((len(y), max(map(len, fine))), 0xFFFFFFFF, np.uint32)
+                for q, f in enumerate(fine):
+                    grid[q, : len(f)] = f
+                sizes = np.array([s["n"] for s in y])
+                ends = np.array([f[-1] if len(f) < s["n"] else 0xFFFFFFFE for f, s in zip(fine, y, strict=True)], np.uint32)
+                whole = np.array([len(f) == s["n"] for f, s in zip(fine, y, strict=True)])
+                of = np.array([s["component"] for s in y])
+                widest = max(len(s["listed"]) for s in y)
+                lists_ = np.full((len(y), widest), NOWHERE, np.int64)
+                for q, s in enumerate(y):
+                    lists_[q, : len(s["listed"])] = s["listed"]
                 a, b = [], []
-                sketches = [np.array(r["sketch"]) for r in y]
-                for p, r in enumerate(x):
-                    own = np.array(r["sketch"])
-                    for q in range(p + 1 if same else 0, len(y)):
-                        s = y[q]
-                        if r["component"] == s["component"] or 100 * min(r["n"], s["n"]) < percent * max(r["n"], s["n"]):
-                            continue
-                        both = np.concatenate([own, sketches[q]])
-                        both.sort()
-                        twice = both[1:] == both[:-1]
-                        size = min(k, len(both) - int(twice.sum()))
-                        # the position of each value among the distinct ones tells whether the union's sketch holds it
-                        rank = np.cumsum(np.concatenate([[True], ~twice]))[1:][twice]
-                        if int((rank <= size).sum()) >= (percent / 100 - SLACK) * size:
-                            a.append(r["key"])
-                            b.append(s["key"])
+                for r in x:
+                    may = (100 * np.minimum(sizes, r["n"]) >= percent * np.maximum(sizes, r["n"])) & (of != r["component"])
+                    # each pair once: in the first list of both, and from the smaller id where both sides hold both
+                    first = np.where(np.isin(lists_, r["listed"]), lists_, NOWHERE).min(axis=1)
+                    may &= first == value
+                    if not may.any():
+                        continue
+                    own = np.frombuffer(r["fine"], "<u4")
+                    full = len(own) == r["n"]
+                    upto = np.minimum(ends[may], 0xFFFFFFFE if full else own[-1])
+                    part = grid[may]
+                    at = np.searchsorted(own, part)
+                    at[at == len(own)] = 0
+                    below = part <= upto[:, None]
+                    common = ((own[at] == part) & below).sum(axis=1)
+                    union = below.sum(axis=1) + np.searchsorted(own, upto, "right") - common
+                    slack = np.where(whole[may] & full, 0.001, np.minimum(SLACK, 2 / np.sqrt(union)))
+                    for q in np.flatnonzero(may)[common >= (percent / 100 - slack) * union].tolist():
+                        other = y[q]["id"]
+                        if other > r["id"] or other not in minor:
+                            a.append(r["id"])
+                            b.append(other)
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return tasks.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tasks.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row of docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    signed = scratch.write(signatures(docs, id_col=id_col, text_col=text_col, width=width, k=k), "signatures")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    columns = {"id_col": id_col, "text_col": text_col, "width": width}
+    signed = scratch.write(signatures(docs, k=k, **columns), "signatures")
     held = signed.where("key is not null and id is not null")
     classes = scratch.write(held.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = scratch.write(inverted(classes), "lists")
-    listed = lists.select("key").distinct()
-    small = classes.join(listed, "key", "left_semi")
-    small = scratch.write(small, "listed")
-    sets = scratch.write(full_sets(docs, small.select("id", "key"), scratch, id_col=id_col, text_col=text_col, width=width), "sets")
-    labels = None
-    links = None
-    active = scratch.write(_unfinished(lists.select("value", "key", F.col("key").alias("component"))), "active")
+    lists = inverted(classes).withColumn("component", F.col("id"))
+    active = scratch.write(lists, "lists")
+    small = scratch.write(classes.join(active.select("id").distinct(), "id", "left_semi"), "listed")
+    sets = scratch.write(full_sets(docs, small.select("id", "key"), **columns), "sets")
+    fine = sets.select("id", F.size("members").cast("bigint").alias("n"), short_values(F.slice("members", 1, FINE)).alias("fine"))
+    labels = links = None
     for round_ in range(HUB_ROUNDS + 1):
         if active.isEmpty():
             break
         if round_ < HUB_ROUNDS:
-            hubs = active.groupBy("value").agg(F.min(F.struct(F.xxhash64("key", F.lit(round_)).alias("order"), "key", "component")).alias("hub"))
+            order = -F.col("weight") if round_ == 0 else F.xxhash64("id", F.lit(round_)).cast("double")
+            hubs = active.groupBy("value").agg(F.min(F.struct(order.alias("order"), "id", "component")).alias("hub"))
             pairs = active.join(hubs, "value").where(F.col("component") != F.col("hub.component"))
-            pairs = pairs.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+            pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         else:
-            pairs = _blocks(active, small, percent, k)
+            pairs = _blocks(active, fine, percent)
         found = scratch.write(_verified(pairs, small, sets, percent, k), "links")
         links = found if links is None else links.unionByName(found)
         labels = scratch.write(connected(links, "a", "b", scratch), "labels")
         if round_ < HUB_ROUNDS:
-            again = active.select("value", "key").join(labels, F.col("key") == F.col("node"), "left").select("value", "key", F.coalesce("component", "key").alias("component"))
+            again = active.drop("component").join(labels, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
             after = scratch.write(_unfinished(again), "active")
             scratch.drop(active)
             active = after
+    own = signed.select("id", "n", "key").join(classes.select("key", F.col("id").alias("first")), "key", "left")
     if labels is not None:
-        merged = classes.join(labels, F.col("key") == F.col("node")).groupBy("component").agg(F.min("id").alias("least"))
-        of_class = labels.join(merged, "component").select(F.col("node").alias("key"), "least")
-        named = classes.select("key", "id").join(of_class, "key", "left").select("key", F.coalesce("least", "id").alias("component_id"))
+        own = own.join(labels, F.col("first") == F.col("node"), "left")
+        component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
     else:
-        named = classes.select("key", F.col("id").alias("component_id"))
-    own = signed.select("id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+        component = F.when(F.col("id").isNotNull(), F.coalesce("first", "id"))
     return own.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
