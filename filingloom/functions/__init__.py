@@ -1 +1 @@
-"""Part of the filing analytics engine."""
+"""Column functions."""
