@@ -77,9 +77,17 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, k: in
     return source.mapInArrow(run, "id bigint, n bigint, key binary, sketch array<bigint>")
 
 
+def filter_bits(count: int) -> int:
+    """Size of a filter for so many ids: about 16 bits each, between the bounds."""
+    bits = MIN_FILTER_BITS
+    while bits < 16 * count and bits < MAX_FILTER_BITS:
+        bits *= 2
+    return bits
+
+
 def bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A bitmap over a hash of the ids: 4 KB pieces built on the executors, bounded in size."""
-    hashed = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("h"))
+    hashed = ids.select(F.pmod(F.xxhash64(F.col("id").cast("bigint")), F.lit(bits)).alias("h"))
     rows = hashed.groupBy((F.col("h") / 32768).cast("int").alias("piece")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
@@ -87,16 +95,20 @@ def bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def may_hold(bitmap: np.ndarray, id_: Column) -> Column:
+    """Whether the filter may hold an id; False is certain.  Native."""
+    h = F.pmod(F.xxhash64(id_.cast("bigint")), F.lit(len(bitmap) * 8))
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), (F.shiftright(h, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(h, F.lit(8)))), F.lit(2)) == 1)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """``id, members`` (full sets) of the classes in ``wanted`` (id, key), from a second reading of their texts.
 
     A bounded bitmap of the wanted ids keeps most other texts from being
     hashed again; the join on id and key then is exact.
     """
-    count = wanted.count()
-    bits = MIN_FILTER_BITS
-    while bits < 16 * count and bits < MAX_FILTER_BITS:
-        bits *= 2
+    bits = filter_bits(wanted.count())
     bitmap = bit_filter(wanted, bits)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(bits)).alias("h"))
 

@@ -39,20 +39,20 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80)
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.write(neardup.components(docs, width=width, percent=percent).select("id", "kept"), "kept")
     counted = found.where("id is not null").groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    dropped = counted.where(~F.col("kept")).select("id")
+    # ids with more to do than passing their row on: dropped ones and repeated ones
+    marked = scratch.write(counted.where("not kept or rows > 1"), "marked")
     names = [f"x{i}" for i in range(len(docs.columns))]
-    key = names[docs.columns.index("doc_id")]
-    rest = docs.toDF(*names).join(dropped, F.col(key) == F.col("id"), "left_anti")
-    repeated = counted.where("kept and rows > 1").select("id")
-    if not repeated.isEmpty():
-        single = rest.join(repeated, F.col(key) == F.col("id"), "left_anti")
-        several = rest.join(repeated, F.col(key) == F.col("id"), "left_semi")
-        # the row with the smallest text hash is the one that stays
-        text = names[docs.columns.index("text")]
-        several = several.withColumn("order", F.struct(F.xxhash64(text), *[F.col(n).cast("string") for n in names]))
-        several = several.groupBy(key).agg(F.min_by(F.struct(*names), "order").alias("row")).select("row.*")
-        rest = single.unionByName(several)
-    return rest.toDF(*docs.columns)
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    bitmap = neardup.bit_filter(marked, neardup.filter_bits(marked.count()))
+    may = F.coalesce(neardup.may_hold(bitmap, F.col(key)), F.lit(False))
+    # Only texts that the filter may hold are moved; the join is exact, and the same at every size.
+    looked = rows.where(may).join(marked.hint("merge"), F.col(key) == F.col("id"), "left")
+    single = looked.where(F.col("id").isNull()).select(*names)
+    several = looked.where("kept and rows > 1").withColumn("order", F.to_json(F.struct(F.xxhash64(text).alias("hash"), *[F.col(n).cast("string") for n in names])))
+    # of rows that repeat a kept id the one with the smallest text hash stays
+    several = several.groupBy(key).agg(F.min_by(F.struct(*names), "order").alias("row")).select("row.*")
+    return rows.where(~may).unionByName(single).unionByName(several.select(*names)).toDF(*docs.columns)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
@@ -78,5 +78,5 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     of = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names).withColumn("words", mixing.size_of(F.col(of["text"])))
     same = F.col(of["doc_id"]).eqNullSafe(F.col("k0")) & F.col(of["source"]).eqNullSafe(F.col("k1")) & (rows["words"] == copies["words"])
-    taken = rows.join(copies, same).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = rows.join(copies.hint("merge"), same).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*names).toDF(*docs.columns)
