@@ -474,7 +474,7 @@ def aif_rows(html: str) -> list[tuple[int, str, str]]:
     a reference and lies behind the front pages; one within 200 characters of
     the last is left out.
     """
-    text = "".join(parse(html).strings())
+    text = _linear(parse(html))[1]
     front = min(max(5000, round(0.03 * len(text))), 10_000)
     found = []
     for pattern in forms.ANNUAL_INFORMATION:
