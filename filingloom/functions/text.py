@@ -81,7 +81,43 @@ def prose_markdown(text: Column) -> Column:
 
 
 def punctuated(col: Column) -> Column:
-    """Spaces around dashes, none before punctuation, one after it."""
-    text = F.regexp_replace(col, "\\s*([—–])\\s*", " $1 ")
-    text = F.regexp_replace(text, "\\s+([.,;:!?])", "$1")
-    return F.regexp_replace(text, "([.!?;:])(?=[A-Z])", "$1 ")
+    """Even spacing of punctuation: dashes stand between spaces, marks follow their word and precede a space."""
+    steps = (
+        ("[—–]", " - "), ("(?U)\\s+([.,;!?])", "$1"), ("([,;])([A-Za-z])", "$1 $2"), ("(?<=\\w{2})([.!?])([A-Z])", "$1 $2"),
+        ("(?<=[0-9])([.!?])([A-Z])", "$1 $2"), ("(%[.!?]?)([A-Za-z])", "$1 $2"), (" {2,}", " "),
+    )
+    for pattern, instead in steps:
+        col = F.regexp_replace(col, pattern, instead)
+    return F.trim(col)
+
+
+def without_page_marks(col: Column) -> Column:
+    """A section's text without the page headers inside it and the page footer, item heading or page number at its end."""
+    number = "\\n\\s*\\d{1,3}\\s*\\n\\s*"
+    running = f"(?:{number}PART\\s+[IVX]+\\s*\\n\\s*Item\\s+\\d+[A-Za-z]?(?:,\\s*\\d+[A-Za-z]?)?|{number}Table of Contents)\\s*"
+    for pattern, instead in ((f"(?i){running}\\n", "\n\n"), (f"(?i){running}$", ""), ("(?i)\\n\\s*Item\\s+\\d+[A-Za-z]?\\.?\\s*$", ""), ("\\n\\s*\\d{1,3}\\s*$", "")):
+        col = F.regexp_replace(col, pattern, instead)
+    return F.regexp_replace(col, "(?U)\\s+$", "")
+
+
+def shortened(col: Column, length: int) -> Column:
+    """At most ``length`` characters: cut at a sentence or line end in the last fifth, else at a space in the last tenth, else hard with three dots."""
+    head = F.left(col, F.lit(length))
+    last = lambda mark: F.when(F.instr(head, mark) > 0, length - F.instr(F.reverse(head), mark) + 1).otherwise(0)
+    stop, space = F.greatest(last("."), last("\n")), last(" ")
+    cut = (
+        F.when(stop > 0.8 * length, F.trim(F.substring(col, F.lit(1), stop)))
+        .when(space > 0.9 * length, F.concat(F.trim(F.substring(col, F.lit(1), space - 1)), F.lit("...")))
+        .otherwise(F.concat(F.trim(F.left(col, F.lit(max(0, length - 3)))), F.lit("...")))
+    )
+    return F.when(F.length(col) <= length, col).otherwise(cut)
+
+
+def preprocessed(html: Column) -> Column:
+    """Markup before parsing: no byte-order mark, XML declaration, control characters, code, comments or hidden XBRL."""
+    for pattern, instead in (
+        ("^\\x{FEFF}", ""), ("<\\?xml[^>]*\\?>", ""), ("[\\x{91}\\x{92}]", "'"), ("[\\x{93}\\x{94}]", '"'), ("\\x{95}", "•"), ("\\x{96}", "–"), ("\\x{97}", "—"), ("[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}]", ""),
+        ("(?is)<(script|style|ix:hidden|ix:header)\\b[^>]*>.*?</\\1>", ""), ("(?i)<link[^>]*>", ""), ("(?s)<!--.*?-->", ""), ("&(?:nbsp|ensp|thinsp|#160|#32);|\\x{A0}", " "), ("&emsp;", "  "), ("&(?:zwj|zwnj|#8203);", ""),
+    ):
+        html = F.regexp_replace(html, pattern, instead)
+    return html

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filingloom.operators import exhibits, forms, html_tree, sections, windows
+from filingloom.functions import styles, text
+from filingloom.operators import exhibits, forms, headings, html_tree, sections, windows
 from filingloom.operators.html_tree import blocks, grid, parse, table_type
 
 
@@ -132,3 +133,25 @@ def test_windows(spark):
     assert vote.level == 2 and vote.confidence == pytest.approx((0.24 + 0.36 + 0.1) / 0.9)
     marks = spark.createDataFrame([("a", 5, 100), ("a", 20, 100)], "ref string, offset int, length int")
     assert [r.stop for r in windows.ends_before_next(marks, by="ref").orderBy("offset").collect()] == [20, 100]
+
+
+def test_headings(spark):
+    page = "<body><h2>Overview</h2><p style='font-weight:bold;text-align:center'>Item 1A. Risk Factors</p><p>" + "long text " * 30 + ".</p><p>an ordinary sentence, in lower case, that ends.</p></body>"
+    got = {r.text: r for r in headings.headings(docs(spark, page)).collect()}
+    assert set(got) == {"Overview", "Item 1A. Risk Factors"} and got["Item 1A. Risk Factors"].level == 1 and got["Overview"].method == "combined"
+    rows = spark.createDataFrame([("a", 0, 100, 1.0), ("a", 80, 200, 1.0), ("a", 500_000, 500_100, 1.0)], "ref string, start long, stop long, confidence double")
+    assert [tuple(r)[1:] for r in headings.without_overlap(rows).orderBy("start").collect()] == [(0, 90, 0.9), (90, 200, 0.9), (500_000, 500_100, 0.9)]
+
+
+def test_styles_and_clean_up(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(styles.declarations(F.lit("Color: RED; margin:1px;color:blue"))) == {"margin": "1px", "color": "blue"}
+    assert [one(styles.pixels(F.lit(v))) for v in ("12pt", "1.5em", "0", "50%", "auto", "-2px")] == [pytest.approx(15.996), 24.0, 0.0, None, None, -2.0]
+    assert tuple(one(styles.box(F.lit("1px 2px 3px")))) == (1.0, 2.0, 3.0, 2.0)
+    assert one(styles.colour(F.lit("#AbC"))) == "#aabbcc" and one(styles.weight(F.lit("bold"))) == 700
+    assert one(styles.merged(styles.declarations(F.lit("a:1;b:2")), styles.declarations(F.lit("b:3")))) == {"a": "1", "b": "3"}
+    assert one(text.without_page_marks(F.lit("a\n12\nPART II\nItem 7\nb\n13\nTable of Contents\n"))) == "a\n\nb"
+    assert one(text.without_page_marks(F.lit("a\nItem 8.\n"))) == "a" and one(text.without_page_marks(F.lit("a\n 44 "))) == "a"
+    assert one(text.shortened(F.lit("One two. Three four five"), 10)) == "One two..." and one(text.shortened(F.lit("abcdefgh. ijkl"), 10)) == "abcdefgh."
+    assert one(text.punctuated(F.lit("a—b ,c;d end.Next 5.Then 7%more"))) == "a - b, c; d end. Next 5. Then 7% more"
+    assert one(text.preprocessed(F.lit("<?xml version='1.0'?><ix:hidden>x</ix:hidden>a&nbsp;<!-- c -->b\x01<script>s</script>"))) == "a b"
