@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def make_importable(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package, wherever the driver was started."""
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers on this host import the package, wherever the driver was started.
+
+    Also bounds the Arrow batches between the JVM and Python, which by default
+    hold 64 MB of texts for each task, on either side and in both directions.
+    """
+    if spark.conf.get(BATCH_SETTING) == "67108864b":  # Spark's default; a chosen size stays
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -31,7 +31,7 @@ from filingloom.llm.common import range_bucket, slices
 EXACT = 64
 LIKE = 256
 WINDOW = 16
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BUCKET_BYTES = 16 << 20
 """Text that one sorted run of documents holds, about."""
 MAX_BUCKETS = 1 << 15

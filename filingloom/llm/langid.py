@@ -39,14 +39,14 @@ SAMPLE_CHARS = 20_000
 """Texts up to this length are drawn first, so that the sample stays small."""
 MAX_CLASSES = 500
 RIDGE = 1e-2
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 BATCH = 64
 
 
 @lru_cache(maxsize=1)
 def folding() -> np.ndarray:
     """For each code point its lower-case letter, or a space if it is no letter or mark."""
-    out = np.full(0x110000, 32, np.uint64)
+    out = np.full(0x110000, 32, np.uint32)
     for code in [*range(0x32400), *range(0xE0100, 0xE01F0)]:
         letter = chr(code)
         if unicodedata.category(letter)[0] in "LM":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from filingloom.llm import bpe, fingerprint, langid, licenses, mixing, neardup, oracles, pii, tiff, urltree, warc
-from filingloom.llm.common import Scratch, make_importable, table
+from filingloom.llm.common import Scratch, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +67,7 @@ ORACLES = oracles.ORACLES
 def queries() -> dict[str, Query]:
     def importable(query: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            make_importable(spark)
+            prepare(spark)
             return query(spark, sf_dir)
 
         return run

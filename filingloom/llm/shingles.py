@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 """Bytes hashed at once; a longer text is cut at white space."""
 #: White space bytes (0x20 and 0x09 to 0x0D), the base of the word hash and the mixing constants (from the splitmix64 generator).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -30,7 +30,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return numbers, word
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64."""
     inverse = pow(BASE, -1, 1 << 64)
