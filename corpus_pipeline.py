@@ -10,32 +10,32 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 
 from filingloom.llm import bpe, stages
-from filingloom.llm.common import Scratch, make_importable, table
+from filingloom.llm.common import Scratch, prepare, table
 from filingloom.llm.queries import vocabulary_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return stages.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return stages.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return stages.mask_personal_data(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return stages.mix_sources(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return bpe.digest_documents(docs, vocabulary_path())
 
 
