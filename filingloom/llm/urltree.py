@@ -91,10 +91,9 @@ def templates(shapes: DataFrame) -> DataFrame:
     named = named.withColumn("template", template)
     sums = named.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("n"))
     hosts = sums.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn"))
-    all_hosts = hosts.agg(F.coalesce(F.sum("hb") / F.nullif(F.sum("hn"), F.lit(0)), F.lit(0.0)).alias("base"))
-    judged = sums.join(hosts, "host").crossJoin(F.broadcast(all_hosts))  # one row
-    share = (F.col("b") + PRIOR * (F.col("hb") + PRIOR * F.col("base")) / (F.col("hn") + PRIOR)) / (F.col("n") + PRIOR)
-    judged = judged.select("host", "template", share.alias("share"), F.col("n").alias("labelled"))
+    base = hosts.agg(F.coalesce(F.sum("hb") / F.nullif(F.sum("hn"), F.lit(0)), F.lit(0.0)).alias("base")).scalar()
+    share = (F.col("b") + PRIOR * (F.col("hb") + PRIOR * base) / (F.col("hn") + PRIOR)) / (F.col("n") + PRIOR)
+    judged = sums.join(hosts, "host").select("host", "template", share.alias("share"), F.col("n").alias("labelled"))
     return named.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
