@@ -451,6 +451,148 @@ def sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ref", "item", body.alias("body"))
 
 
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS ref, CAST(n_nationkey AS INTEGER) AS key, n_name AS name, CAST(n_nationkey * 1000 AS DOUBLE) AS value FROM nation""")
+def table_cells_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.html_tree import cells
+
+    row = text("<tr><td>", F.col("n_nationkey").cast("string"), "<td colspan=2><b>", F.col("n_name"), "</b></td><td>$", F.format_number(F.col("n_nationkey") * 1000, 0), "</tr>")
+    html = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(text("<table><thead><tr><th>Key<th>Name<th><th>Value</tr></thead><tbody>", F.array_join(F.collect_list(row), ""), "</table>").alias("content"))
+    found = cells(html.select(F.col("n_regionkey").cast("string").alias("ref"), "content")).where("section = 'body'")
+    own = found.groupBy("ref", "table_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("key"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("name"), F.max(F.when(F.col("col") == 3, F.col("value"))).alias("value"))
+    return own.select("ref", F.col("key").cast("int").alias("key"), "name", "value")
+
+
+PARAGRAPHS = r"""WITH w AS (SELECT doc_id, list_slice(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '[^A-Za-z ]', '', 'g'), '(?i)item|part|signature', '', 'g'), ' +', ' ', 'g'))), lambda p: length(p) > 0), 1, 9) AS ps FROM documents)
+"""
+
+
+@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, CAST(generate_subscripts(ps, 1) AS VARCHAR) AS item, 'Item ' || generate_subscripts(ps, 1) || '. Heading' AS title, unnest(ps) AS body FROM w WHERE len(ps) > 1""")
+def contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import contents_sections
+
+    docs = render.item_documents(spark, sf_dir).where(F.size("paragraphs") > 1)
+    number = lambda i: (i + 1).cast("string")
+    rows = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit('<tr><td><a href="#s'), number(i), F.lit('">Item '), number(i), F.lit('.</a></td><td><a href="#s'), number(i), F.lit('">Heading</a></td><td>9</td></tr>'))), "")
+    body = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit('<div id="s'), number(i), F.lit('"></div><p>'), p, F.lit("</p>"))), "\n")
+    found = contents_sections(docs.select("ref", text("<html><body><table>", rows, "</table>", body, "</body></html>").alias("content")))
+    return found.select("ref", "item", F.col("label").alias("title"), F.trim("text").alias("body"))
+
+
+@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, CAST(generate_subscripts(ps, 1) AS VARCHAR) AS item, unnest(ps) AS body FROM w WHERE len(ps) > 0""")
+def cross_reference_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import cross_reference_sections
+
+    docs = render.item_documents(spark, sf_dir)
+    number = lambda i: (i + 1).cast("string")
+    rows = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit("<tr><td>Item "), number(i), F.lit(".</td><td>Heading</td><td>"), number(i), F.lit("</td></tr>"))), "")
+    body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), p, F.lit('</p><hr style="page-break-after: always"/>'))), "")
+    found = cross_reference_sections(docs.select("ref", text(body, "<p>FORM 10-K CROSS-REFERENCE INDEX</p><table>", rows, "</table>").alias("content")))
+    return found.select("ref", "item", F.col("text").alias("body"))
+
+
+@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, 'Chapter second part' AS name, 'Chapter second part ' || ps[2] AS text FROM w WHERE len(ps) > 1""")
+def named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import extract_sections
+
+    docs = render.item_documents(spark, sf_dir).where(F.size("paragraphs") > 1)
+    words = F.array(*[F.lit(w) for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")])
+    body = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit("<h2>Chapter "), F.get(words, i), F.lit(" part</h2><p>"), p, F.lit("</p>"))), "")
+    return extract_sections(docs.select("ref", text("<html><body>", body, "</body></html>").alias("content")), ["Chapter second part"])
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS ref, '001-' || s_suppkey AS commission_file_number, 'April 2024' AS report_month, CASE WHEN s_suppkey % 2 = 0 THEN '20-F' ELSE '40-F' END AS annual_report_form, 'Report of ' || s_name AS content_description FROM supplier""")
+def sixk_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.exhibits import sixk_covers as covers
+
+    form = F.when(F.col("s_suppkey") % 2 == 0, "Form 20-F [X] Form 40-F [ ]").otherwise("Form 20-F [ ] Form 40-F [X]")
+    page = text("<p>Commission File Number: 001-", F.col("s_suppkey").cast("string"), "</p><p>For the month of April 2024</p><p>", form, "</p><p>Material Contained in this Report: Report of ", F.col("s_name"), "</p><p>SIGNATURES</p>")
+    return covers(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ref"), page.alias("content")))
+
+
+TENS = {2: "twenty", 3: "thirty", 4: "forty", 5: "fifty"}
+
+
+@query("""SELECT p_partkey, CAST(p_size * 1000 + p_size AS BIGINT) AS value FROM part""")
+def number_words_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = [w for w, v in numbers.NUMBER_WORDS.items() if v < 20 and w not in ("no", "none", "nil", "null")]
+    low = F.element_at(F.array(*[F.lit(u) for u in units]), (F.when(F.col("p_size") < 20, F.col("p_size")).otherwise(F.col("p_size") % 10) + 1).cast("int"))
+    tens = F.element_at(F.create_map(*[F.lit(x) for item in TENS.items() for x in item]), F.floor(F.col("p_size") / 10).cast("int"))
+    words = F.when(F.col("p_size") < 20, low).when(F.col("p_size") % 10 == 0, tens).otherwise(text(F.initcap(tens), "-", low))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.number_from_words(text(words, " thousand and ", words)).alias("value"))
+
+
+@query("""SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders""")
+def decimal_comma_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    value = numbers.parsed_number(numbers.displayed(F.lit("ixt:num-comma-decimal"), shown), F.lit(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(value, 2).alias("value"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS ref, 'tpch:' || replace(n_name, ' ', '') AS concept, CASE WHEN n_nationkey % 2 = 0 THEN '["BalanceSheet"]' ELSE '["IncomeStatement"]' END AS statements FROM nation""")
+def report_statements_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").withColumn("ref", F.col("n_regionkey").cast("string"))
+    summary = "<Report><HtmlFileName>R2.htm</HtmlFileName><LongName>02 - Statement - BALANCE SHEETS</LongName><Role>http://x/role/BalanceSheets</Role></Report><Report><HtmlFileName>R4.htm</HtmlFileName><LongName>04 - Statement - OPERATIONS</LongName><ShortName>Statements of Operations</ShortName></Report><Report><HtmlFileName>R9.htm</HtmlFileName><LongName>09 - Disclosure - Income</LongName><ShortName>Income Statements</ShortName></Report>"
+    summaries = nation.select("ref").distinct().withColumn("xml", F.lit(summary))
+    file = F.when(F.col("n_nationkey") % 2 == 0, "R2.htm").otherwise("R4.htm")
+    mention = text("<a onclick=\"top.Show.showAR(this, 'defref_tpch_", F.replace("n_name", F.lit(" "), F.lit("")), "', window)\">x</a>")
+    pages = nation.select("ref", file.alias("file"), mention.alias("line")).groupBy("ref", "file").agg(F.array_join(F.collect_list("line"), "").alias("html"))
+    return linkbase.report_statements(summaries, pages).select("ref", "concept", F.to_json("statements").alias("statements"))
+
+
+@query(f"""SELECT CAST(l_orderkey AS VARCHAR) AS accession, 'tpch:Price' || {KEY} AS concept, 'reconstructed:StockholdersEquityDetails' AS source_selector, 'Equity' AS statement FROM lineitem WHERE l_orderkey % 3 = 0""")
+def notes_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = render.presentation_linkbases(spark, sf_dir).withColumn("xml", F.replace("xml", F.lit("NoteDetails"), F.lit("StockholdersEquityDetails")))
+    found = linkbase.from_notes(xbrl.facts(render.inline_prices(spark, sf_dir)), books, "Equity")
+    return found.select("accession", "concept", "source_selector", "statement")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS ref, 'tpch:N' AS concept, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'standard ' || n_nationkey) AS label FROM nation""")
+def labels_over_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").withColumn("ref", F.col("n_nationkey").cast("string"))
+    own = text('<link:loc xlink:href="a#tpch_N" xlink:label="l"/><link:labelArc xlink:from="l" xlink:to="r"/><link:label xlink:label="r">', F.col("n_name"), "</link:label>")
+    books = nation.where("n_nationkey % 2 = 0").select("ref", F.lit("lab").alias("suffix"), own.alias("xml"))
+    return linkbase.label_rows(books, nation.select("ref", F.lit("tpch:N").alias("concept"), text("standard ", F.col("ref")).alias("label")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, count(*) AS facts, 1 AS documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY o_orderkey""")
+def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = line_facts(spark, sf_dir).where(F.substring_index("context_ref", "-", 1).cast("int") <= 3).withColumn("accession", F.col("accession").cast("bigint").cast("string"))
+    documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("accession"), F.lit("d").alias("document"))
+    extractions = facts.select("accession").distinct().withColumn("selector", F.lit(""))
+    joined = documents.join(extractions, "accession").join(facts, "accession")
+    return joined.groupBy("accession").agg(F.count("*").alias("facts"), F.countDistinct("document").cast("int").alias("documents"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS ref, 'L' || c_nationkey AS entity_value, 'http://b/' || c_custkey || '.zip' AS url, CAST('2023-12-31' AS DATE) AS period_end, 'esef' AS system FROM customer WHERE c_custkey % 2 = 0""")
+def report_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    nation = F.col("c_nationkey").cast("string")
+    end = F.when(F.col("c_custkey") % 2 == 0, "2023-12-31").otherwise("2022-12-31")
+    filing = F.struct(key.alias("id"), F.struct(text("/", key, ".zip").alias("package_url"), end.alias("period_end"), key.alias("fxo_id"), F.lit("FI").alias("country")).alias("attributes"), F.struct(F.struct(F.struct(nation.alias("id")).alias("data")).alias("entity")).alias("relationships"))
+    entity = F.struct(F.lit("entity").alias("type"), nation.alias("id"), F.struct(text("L", nation).alias("identifier")).alias("attributes"))
+    payloads = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(filing).alias("data"), F.collect_set(entity).alias("included"))).alias("json"))
+    return listing.report_handles(payloads, year=2023, base="http://b").select("ref", "entity_value", "url", "period_end", "system")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS accession, CASE WHEN s_suppkey % 2 = 0 THEN 'uk-core:Equity' ELSE 'ns9:Equity' END AS concept, round(s_acctbal, 2) AS value FROM supplier""")
+def canonical_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.sources.packages import canonical_concepts
+
+    key = F.col("s_suppkey").cast("string")
+    space = F.when(F.col("s_suppkey") % 2 == 0, "http://xbrl.frc.org.uk/fr/2023-01-01/core").otherwise("http://elsewhere.org/core")
+    fact = text('<ix:nonFraction name="ns9:Equity" contextRef="c" unitRef="usd">', F.when(F.col("s_acctbal") < 0, "-").otherwise(""), F.format_number(F.abs("s_acctbal"), 2), "</ix:nonFraction>")
+    line = text('<p xmlns:ns9="', space, '"/>', render.instant(F.lit("c"), F.lit("2023-12-31")), fact)
+    filings = render.filings(table(spark, sf_dir, "supplier").select(key.alias("ref"), F.array(line).alias("lines")))
+    return canonical_concepts(xbrl.facts(filings), filings).select("accession", "concept", F.round("value", 2).alias("value"))
+
+
+@query("""SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CAST(max(o_orderkey) AS BIGINT) AS last FROM orders GROUP BY 1""")
+def richer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_custkey").cast("string").alias("accession"))
+    fewer = orders.where("o_orderkey % 2 = 0")
+    return xbrl.richer(fewer, orders).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
