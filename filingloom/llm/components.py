@@ -7,14 +7,17 @@ are written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from filingloom.llm.common import Scratch
 
 
-def _summary(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The edges as written, and their number and hash, observed while writing."""
+    seen = Observation()
+    kept = scratch.write(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return kept, (seen.get["n"], seen.get["h"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,13 +36,11 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """``node, component`` (its smallest node) for each node that has an edge to another."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = scratch.write(now, "edges")
-    before = _summary(now)
+    now, before = _written(now, "edges", scratch)
     while before[0]:
-        after = scratch.write(_small(_large(now)), "star")
-        scratch.drop(now)
-        now, seen = after, before
-        before = _summary(now)
+        last, seen = now, before
+        now, before = _written(_small(_large(last)), "star", scratch)
+        scratch.drop(last)
         if before == seen:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

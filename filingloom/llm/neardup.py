@@ -36,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +97,18 @@ def bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def may_hold(bitmap: np.ndarray, id_: Column) -> Column:
-    """Whether the filter may hold an id; False is certain.  Native."""
-    h = F.pmod(F.xxhash64(id_.cast("bigint")), F.lit(len(bitmap) * 8))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap.tobytes())), (F.shiftright(h, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(h, F.lit(8)))), F.lit(2)) == 1)
+    """Whether the filter may hold an id; False is certain, and for a null id.
+
+    A vectorised function of the hash alone: as a literal the bitmap would
+    stand in every description of the plan that the driver keeps.
+    """
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        at = h.fillna(0).to_numpy(np.int64)
+        return pd.Series((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & h.notna().to_numpy())
+
+    return held(F.when(id_.isNotNull(), F.pmod(F.xxhash64(id_.cast("bigint")), F.lit(len(bitmap) * 8))))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
