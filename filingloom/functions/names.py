@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Notations of names, reports, items and archive entries.
+DISPLAY_NAME = "^(.*?)\\s*(?:\\([^()]*\\)\\s*)?\\(CIK\\s+\\d+\\)\\s*$"
+REPORT_NAME = "^\\s*[^-]*-\\s*([^-]+?)\\s*-"
+ITEM_HEAD = "(?i)^\\s*item\\s+\\d{1,2}[A-Z]?\\s*[.\\-—:]*\\s*"
+BULK_ENTRY = "_([A-Za-z0-9]+)_(\\d{8})\\.(?i:html)$"
+
+
 def cik(col: Column) -> Column:
     """Ten-digit filer number; an error on empty, non-digit or longer input."""
     text = F.trim(col.cast("string"))
@@ -44,13 +51,13 @@ def local_name(measure: Column) -> Column:
 
 def entity_name(shown: Column) -> Column:
     """A search hit's display name without its ticker and filer number."""
-    bare = F.regexp_extract(shown, "^(.*?)\\s*(?:\\([^()]*\\)\\s*)?\\(CIK\\s+\\d+\\)\\s*$", 1)
+    bare = F.regexp_extract(shown, DISPLAY_NAME, 1)
     return F.trim(F.when(shown.rlike("\\(CIK\\s+\\d+\\)\\s*$"), bare).otherwise(shown))
 
 
 def report_category(long_name: Column) -> Column:
     """The middle part of "code - Category - Title", lower case."""
-    return F.lower(F.trim(F.regexp_extract(long_name, "^\\s*[^-]*-\\s*([^-]+?)\\s*-", 1)))
+    return F.lower(F.trim(F.regexp_extract(long_name, REPORT_NAME, 1)))
 
 
 def page_ranges(col: Column) -> Column:
@@ -95,8 +102,7 @@ def item_order(part: Column, item: Column) -> Column:
 
 def bulk_entry(name: Column) -> Column:
     """struct(number, period_end) of a bulk archive's entry name; null number when it isn't an accounts document."""
-    pattern = "_([A-Za-z0-9]+)_(\\d{8})\\.(?i:html)$"
-    number, day = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    number, day = F.regexp_extract(name, BULK_ENTRY, 1), F.regexp_extract(name, BULK_ENTRY, 2)
     return F.struct(F.when(number != "", number).alias("number"), F.try_to_date(F.when(day != "", day), "yyyyMMdd").alias("period_end"))
 
 
@@ -110,7 +116,7 @@ def selection_slug(accession: Column, selector: Column, kind: Column) -> Column:
 def section_title(text: Column) -> Column:
     """First line without its "Item N", at most 100 characters; the second line where nothing is left."""
     lines = F.split(text, "\n")
-    first = F.trim(F.regexp_replace(lines[0], "(?i)^\\s*item\\s+\\d{1,2}[A-Z]?\\s*[.\\-—:]*\\s*", ""))
+    first = F.trim(F.regexp_replace(lines[0], ITEM_HEAD, ""))
     second = F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
     return F.left(F.when(first == "", second).otherwise(first), F.lit(100))
 

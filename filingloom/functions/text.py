@@ -80,22 +80,30 @@ def prose_markdown(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?U)^\\s+", ""), "(?U)\\s+$", ""), "\\n[ \\t]*\\n[ \\t\\n]*", "\n\n")
 
 
+#: Spacing of punctuation, running heads and feet of pages, and what is taken out of markup before parsing, in this order.
+PUNCTUATION = (
+    ("[—–]", " - "), ("(?U)\\s+([.,;!?])", "$1"), ("([,;])([A-Za-z])", "$1 $2"), ("(?<=\\w{2})([.!?])([A-Z])", "$1 $2"),
+    ("(?<=[0-9])([.!?])([A-Z])", "$1 $2"), ("(%[.!?]?)([A-Za-z])", "$1 $2"), (" {2,}", " "),
+)
+NUMBER_LINE = "\\n\\s*\\d{1,3}\\s*\\n\\s*"
+RUNNING = f"(?:{NUMBER_LINE}PART\\s+[IVX]+\\s*\\n\\s*Item\\s+\\d+[A-Za-z]?(?:,\\s*\\d+[A-Za-z]?)?|{NUMBER_LINE}Table of Contents)\\s*"
+LAST_ITEM, LAST_NUMBER = "\\n\\s*Item\\s+\\d+[A-Za-z]?\\.?\\s*$", "\\n\\s*\\d{1,3}\\s*$"
+PREPARATION = (
+    ("^\\x{FEFF}", ""), ("<\\?xml[^>]*\\?>", ""), ("[\\x{91}\\x{92}]", "'"), ("[\\x{93}\\x{94}]", '"'), ("\\x{95}", "•"), ("\\x{96}", "–"), ("\\x{97}", "—"), ("[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}]", ""),
+    ("(?is)<(script|style|ix:hidden|ix:header)\\b[^>]*>.*?</\\1>", ""), ("(?i)<link[^>]*>", ""), ("(?s)<!--.*?-->", ""), ("&(?:nbsp|ensp|thinsp|#160|#32);|\\x{A0}", " "), ("&emsp;", "  "), ("&(?:zwj|zwnj|#8203);", ""),
+)
+
+
 def punctuated(col: Column) -> Column:
     """Even spacing of punctuation: dashes stand between spaces, marks follow their word and precede a space."""
-    steps = (
-        ("[—–]", " - "), ("(?U)\\s+([.,;!?])", "$1"), ("([,;])([A-Za-z])", "$1 $2"), ("(?<=\\w{2})([.!?])([A-Z])", "$1 $2"),
-        ("(?<=[0-9])([.!?])([A-Z])", "$1 $2"), ("(%[.!?]?)([A-Za-z])", "$1 $2"), (" {2,}", " "),
-    )
-    for pattern, instead in steps:
+    for pattern, instead in PUNCTUATION:
         col = F.regexp_replace(col, pattern, instead)
     return F.trim(col)
 
 
 def without_page_marks(col: Column) -> Column:
     """A section's text without the page headers inside it and the page footer, item heading or page number at its end."""
-    number = "\\n\\s*\\d{1,3}\\s*\\n\\s*"
-    running = f"(?:{number}PART\\s+[IVX]+\\s*\\n\\s*Item\\s+\\d+[A-Za-z]?(?:,\\s*\\d+[A-Za-z]?)?|{number}Table of Contents)\\s*"
-    for pattern, instead in ((f"(?i){running}\\n", "\n\n"), (f"(?i){running}$", ""), ("(?i)\\n\\s*Item\\s+\\d+[A-Za-z]?\\.?\\s*$", ""), ("\\n\\s*\\d{1,3}\\s*$", "")):
+    for pattern, instead in ((f"(?i){RUNNING}\\n", "\n\n"), (f"(?i){RUNNING}$", ""), (f"(?i){LAST_ITEM}", ""), (LAST_NUMBER, "")):
         col = F.regexp_replace(col, pattern, instead)
     return F.regexp_replace(col, "(?U)\\s+$", "")
 
@@ -115,9 +123,6 @@ def shortened(col: Column, length: int) -> Column:
 
 def preprocessed(html: Column) -> Column:
     """Markup before parsing: no byte-order mark, XML declaration, control characters, code, comments or hidden XBRL."""
-    for pattern, instead in (
-        ("^\\x{FEFF}", ""), ("<\\?xml[^>]*\\?>", ""), ("[\\x{91}\\x{92}]", "'"), ("[\\x{93}\\x{94}]", '"'), ("\\x{95}", "•"), ("\\x{96}", "–"), ("\\x{97}", "—"), ("[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}]", ""),
-        ("(?is)<(script|style|ix:hidden|ix:header)\\b[^>]*>.*?</\\1>", ""), ("(?i)<link[^>]*>", ""), ("(?s)<!--.*?-->", ""), ("&(?:nbsp|ensp|thinsp|#160|#32);|\\x{A0}", " "), ("&emsp;", "  "), ("&(?:zwj|zwnj|#8203);", ""),
-    ):
+    for pattern, instead in PREPARATION:
         html = F.regexp_replace(html, pattern, instead)
     return html

@@ -19,6 +19,7 @@ from filingloom.functions.names import section_title
 from filingloom.operators import forms, windows
 from filingloom.operators.html_tree import SKIPPED, Element, blocks, fold, parse, per_document
 
+#: How filings label items, parts and signatures.
 ITEM = re.compile(r"(?i)^item\s+(\d{1,2}(?:\.\d{2})?[A-Z]?)\b\.?")
 PART = re.compile(r"(?i)^part\s+([IVXLC]+)\b")
 SIGNATURES = re.compile(r"^SIGNATURES?\b")
@@ -288,6 +289,7 @@ def items_of(sections_: DataFrame, pattern: str) -> DataFrame:
 # -- cross-reference index ----------------------------------------------------------------------
 
 INDEX = "place int, item string, title string, part string, pages array<struct<start: int, stop: int>>"
+#: Title of a cross-reference index and the markup of a page break.
 HEADING = re.compile(r"(?i)FORM\s+10-K\s+CROSS[- ]?REFERENCE\s+INDEX")
 BREAK = re.compile(r'(?i)<(?:hr|div)\s[^>]*style="[^"]*page-break-after\s*:\s*always[^"]*"[^>]*>')
 

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How filings label items, parts and signatures.
+ITEM_LABEL = "(?im)^(Item\\s{1,3}[0-9]{1,2}[A-Z]?)\\.?"
+PART_LABEL = "(?im)^\\b(PART\\s+[IVXLC]+)\\b"
+SIGNATURE_START, SIGNED = "(?i)^SIGNATURE", "to be signed on its behalf by the undersigned"
+CONTENTS_CHUNKS, CONTENTS_WORD, CONTENTS_COUNT = 100, "(?i)item", 10
+
 
 def forward_fill(rows: DataFrame, columns: list[str], *, by: list[str], order: str) -> DataFrame:
     """Each null takes the last value before it in its group."""
@@ -19,10 +25,10 @@ def chunk_labels(chunks: DataFrame, *, by: str = "ref", order: str = "chunk", te
     "item") resets the item; from the first signature on there is none.
     """
     found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    item = found("(?im)^(Item\\s{1,3}[0-9]{1,2}[A-Z]?)\\.?")
-    part = F.upper(F.regexp_replace(found("(?im)^\\b(PART\\s+[IVXLC]+)\\b"), "\\s+", " "))
-    toc = (F.col(order) < 100) & (F.regexp_count(text, F.lit("(?i)item")) > 10)
-    signature = F.col(text).rlike("(?i)^SIGNATURE") | F.contains(text, F.lit("to be signed on its behalf by the undersigned"))
+    item = found(ITEM_LABEL)
+    part = F.upper(F.regexp_replace(found(PART_LABEL), "\\s+", " "))
+    toc = (F.col(order) < CONTENTS_CHUNKS) & (F.regexp_count(text, F.lit(CONTENTS_WORD)) > CONTENTS_COUNT)
+    signature = F.col(text).rlike(SIGNATURE_START) | F.contains(text, F.lit(SIGNED))
     rows = chunks.withColumns({"toc": toc, "signature": signature, "item": F.when(toc, F.lit("")).otherwise(item), "part": part})
     rows = forward_fill(rows, ["item", "part"], by=[by], order=order)
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -18,7 +18,10 @@ from filingloom.functions.names import local_name
 from filingloom.operators.standardize import standardized
 from filingloom.schemas import FACT_COLUMNS
 
+#: Elements that carry numeric facts, inline and in classic instances; any prefix is taken.
 PREFIX = "(?:\\w+:)?"
+INLINE_FACT = "(?is)<ix:nonFraction\\b[^>]*>.*?</ix:nonFraction>"
+CLASSIC_FACT = '(?is)<([\\w-]+:[\\w.-]+)\\b[^>]*\\bcontextRef="[^"]+"[^>]*>[^<]*</\\1>'
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -80,12 +83,12 @@ def units(content: Column) -> Column:
 
 
 def inline_elements(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit("(?is)<ix:nonFraction\\b[^>]*>.*?</ix:nonFraction>"), F.lit(0))
+    return F.regexp_extract_all(content, F.lit(INLINE_FACT), F.lit(0))
 
 
 def classic_elements(content: Column) -> Column:
     """Elements of an instance that carry a context; text with markup in it is no number."""
-    return F.regexp_extract_all(content, F.lit('(?is)<([\\w-]+:[\\w.-]+)\\b[^>]*\\bcontextRef="[^"]+"[^>]*>[^<]*</\\1>'), F.lit(0))
+    return F.regexp_extract_all(content, F.lit(CLASSIC_FACT), F.lit(0))
 
 
 def raw_facts(filings: DataFrame, keep: list[str]) -> DataFrame:
