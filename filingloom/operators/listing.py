@@ -189,7 +189,7 @@ def submission_documents(texts: DataFrame, sizes: DataFrame | None = None, *, re
     blocks = F.regexp_extract_all(F.col(text_col), F.lit("(?is)<DOCUMENT>.*?(?:</DOCUMENT>|$)"), F.lit(0))
     rows = texts.select(ref, F.posexplode(blocks).alias("place", "block"))
     part = lambda tag: F.trim(F.regexp_extract("block", f"(?im)^<{tag}>([^\\r\\n<]*)", 1))
-    rows = rows.select(ref, "place", part("TYPE").alias("type"), part("FILENAME").alias("filename"), part("DESCRIPTION").alias("description")).where("filename <> ''")
+    rows = rows.select(ref, "place", part("TYPE").alias("type"), part("FILENAME").alias("filename"), F.upper(part("DESCRIPTION")).alias("description")).where("filename <> ''")
     if sizes is None:
         return rows.withColumn("size", F.lit(0))
     return rows.join(sizes.select(ref, F.col("name").alias("filename"), "size"), [ref, "filename"], "left").withColumn("size", F.coalesce("size", F.lit(0))).select(ref, "place", "type", "filename", "description", "size")
@@ -215,23 +215,34 @@ def assets(filings: DataFrame) -> DataFrame:
     return rows.where((F.col("asset") != "") & ~elsewhere & known).withColumn("asset", F.regexp_replace("asset", "^\\./", ""))
 
 
+MAJOR_BYTES = 100_000
+"""Size beyond which an exhibit counts as a major one."""
+
+
 def annual_information_form(documents: DataFrame, heads: DataFrame | None = None, *, ref: str = "ref") -> DataFrame:
-    """The exhibit that holds a 40-F's annual information form: by type EX-1, by description, by an EX-99 file name, else the first EX-99.
+    """(ref, filename, rank): the document that holds a 40-F's annual information form.
 
-    ``heads`` (ref, filename, head) lets the first large exhibit whose text
-    names the form win before the last choice.
+    Asked in this order: an EX-1, a description that names the form, an EX-99
+    named after it (aif before annual), a major EX-99 whose text shows the
+    form's headings, the 40-F itself, the first major document.  The texts are
+    only asked where ``heads`` (ref, filename, head) is given.
     """
-    low = lambda c: F.lower(F.col(c))
-    rows = documents.where(F.col("filename").rlike("(?i)\\.html?$") & (F.col("type") != "GRAPHIC"))
-    named = F.lit(False)
+    from filingloom.operators.forms import ANNUAL_INFORMATION
+
+    rows = documents.where(F.col("filename").rlike("(?i)\\.x?html?$"))
+    shown = F.lit(False)
     if heads is not None:
         rows = rows.join(heads.select(ref, "filename", "head"), [ref, "filename"], "left")
-        named = (F.col("size") > 100_000) & F.contains(F.lower(F.coalesce("head", F.lit(""))), F.lit("annual information form"))
-    place = (
-        F.when(F.col("type").rlike("^EX-1(\\.|$)"), 1)
-        .when(F.contains(low("description"), F.lit("annual information form")), 2)
-        .when(F.col("type").startswith("EX-99") & low("filename").rlike("aif|annual"), 3)
-        .when(named, 4)
-        .when(F.col("type").startswith("EX-99"), 5)
+        shown = F.coalesce(F.col("head").rlike(f"(?i)(?:{'|'.join(ANNUAL_INFORMATION)})"), F.lit(False))
+    supplement, major = F.col("type").startswith("EX-99"), F.col("size") > MAJOR_BYTES
+    about, file = F.upper("description"), F.lower("filename")
+    rank = (
+        F.when(F.col("type").isin("EX-1", "EX-1.1", "EX-1.2"), 1)
+        .when(F.contains(about, F.lit("ANNUAL INFORMATION")) | about.rlike("\\bAIF\\b"), 2)
+        .when(supplement & F.contains(file, F.lit("aif")), 3)
+        .when(supplement & F.contains(file, F.lit("annual")), 4)
+        .when(supplement & major & shown, 5)
+        .when(F.col("type").isin("40-F", "40-F/A"), 6)
+        .when(major, 7)
     )
-    return rows.withColumn("rank", place).where("rank is not null").groupBy(ref).agg(F.min_by("filename", F.struct("rank", "place")).alias("filename"), F.min("rank").alias("rank"))
+    return rows.withColumn("rank", rank).where("rank is not null").groupBy(ref).agg(F.min_by("filename", F.struct("rank", "place")).alias("filename"), F.min("rank").alias("rank"))

@@ -87,9 +87,9 @@ def chunks(docs: DataFrame, **columns: str) -> DataFrame:
     return per_document(docs, chunk_rows, CHUNK, **columns)
 
 
-def item_sections(docs: DataFrame, **columns: str) -> DataFrame:
+def item_sections(docs: DataFrame, *, item_label: str = windows.ITEM_LABEL, **columns: str) -> DataFrame:
     """(ref, item, place, title, text): items by their labels, carried down over chunks."""
-    labelled = windows.chunk_labels(chunks(docs, **columns))
+    labelled = windows.chunk_labels(chunks(docs, **columns), item_label=item_label)
     found = windows.sections_of_chunks(labelled)
     return found.select("ref", "item", "place", section_title(F.col("text")).alias("title"), "text")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: How filings label items, parts and signatures.
 ITEM_LABEL = "(?im)^(Item\\s{1,3}[0-9]{1,2}[A-Z]?)\\.?"
+DECIMAL_LABEL = "(?im)^(Item\\s{1,3}[0-9]{1,2}\\.[0-9]{2})\\.?"
 PART_LABEL = "(?im)^\\b(PART\\s+[IVXLC]+)\\b"
 SIGNATURE_START, SIGNED = "(?i)^SIGNATURE", "to be signed on its behalf by the undersigned"
 CONTENTS_CHUNKS, CONTENTS_WORD, CONTENTS_COUNT = 100, "(?i)item", 10
@@ -18,14 +19,14 @@ def forward_fill(rows: DataFrame, columns: list[str], *, by: list[str], order: s
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(window) for c in columns})
 
 
-def chunk_labels(chunks: DataFrame, *, by: str = "ref", order: str = "chunk", text: str = "text") -> DataFrame:
-    """Chunks with their item and part carried down.
+def chunk_labels(chunks: DataFrame, *, by: str = "ref", order: str = "chunk", text: str = "text", item_label: str = ITEM_LABEL) -> DataFrame:
+    """Chunks with their item and part carried down; ``item_label`` is the pattern of an item's label (DECIMAL_LABEL for current reports).
 
     A table-of-contents chunk (of the first 100, with more than ten times
     "item") resets the item; from the first signature on there is none.
     """
     found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    item = found(ITEM_LABEL)
+    item = found(item_label)
     part = F.upper(F.regexp_replace(found(PART_LABEL), "\\s+", " "))
     toc = (F.col(order) < CONTENTS_CHUNKS) & (F.regexp_count(text, F.lit(CONTENTS_WORD)) > CONTENTS_COUNT)
     signature = F.col(text).rlike(SIGNATURE_START) | F.contains(text, F.lit(SIGNED))

@@ -155,3 +155,8 @@ def test_styles_and_clean_up(spark):
     assert one(text.shortened(F.lit("One two. Three four five"), 10)) == "One two..." and one(text.shortened(F.lit("abcdefgh. ijkl"), 10)) == "abcdefgh."
     assert one(text.punctuated(F.lit("a—b ,c;d end.Next 5.Then 7%more"))) == "a - b, c; d end. Next 5. Then 7% more"
     assert one(text.preprocessed(F.lit("<?xml version='1.0'?><ix:hidden>x</ix:hidden>a&nbsp;<!-- c -->b\x01<script>s</script>"))) == "a b"
+
+
+def test_decimal_items(spark):
+    page = "<p>Item 2.02 Results</p><p>Good.</p><p>Item 9.01. Exhibits</p><p>List.</p>"
+    assert sorted(r.item for r in sections.item_sections(docs(spark, page), item_label=windows.DECIMAL_LABEL).collect()) == ["Item 2.02", "Item 9.01"]

@@ -91,3 +91,15 @@ def test_listings(spark):
     assert listing.exhibits(docs, spark.createDataFrame([("a", "m.htm")], "ref string, document string")).count() == 2
     filing = spark.createDataFrame([("a", '<img src="./logo.PNG"><a href="http://x/y.png"><link href="s.css"><img src="logo.png?x"><img src="./logo.PNG">')], "ref string, content string")
     assert sorted(r.asset for r in listing.assets(filing).collect()) == ["logo.PNG", "logo.png", "s.css"]
+
+
+def test_exports(spark, tmp_path):
+    from filingloom.sources import export, facts_json
+
+    pick = '{"version":1,"provenance":{"cik":"1","accession":"a-1","url":"u"},"selector":"#t > td","kind":"prose","text":"one\\n \\n\\n two","html":"<p>x</p>","facts":[{"concept":"c","value":"5","contextRef":"x","unitRef":"u","periodEnd":"2024-01-31"}]}'
+    picks = facts_json.read_picks(spark.createDataFrame([(pick,)], "json string"))
+    assert tuple(export.exported(picks, "ixbrl").first()) == ("a-1_t-td.ixbrl.html", "<p>x</p>")
+    assert export.exported(picks, "markdown").first().content.endswith("\n\none\n\ntwo")
+    assert json.loads(export.exported(picks, "facts").first().content)["facts"][0]["value"] == 5.0
+    assert export.save(picks, "markdown", f"{tmp_path}/out") == 1 and (tmp_path / "out" / "name=a-1_t-td.md").is_dir()
+    assert export.save(picks, "warehouse", f"{tmp_path}/store") == 1 and export.save(picks, "warehouse", f"{tmp_path}/store") == 0
