@@ -24,19 +24,26 @@ def strip_markup(col: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "(?U)\\s+", " "))
 
 
-def parsed_number(text: Column, sign: Column) -> Column:
-    """Signed value of a displayed number, or null.
+def without_brackets(shown: Column) -> Column:
+    """The inside of a text in parentheses, or the text."""
+    return F.when(shown.startswith("(") & shown.endswith(")"), F.substring(shown, F.lit(2), F.length(shown) - 2)).otherwise(shown)
+
+
+def signed(shown: Column, inner: Column, sign: Column) -> Column:
+    """Value of a cleaned text (and its inside without parentheses), or null.
 
     Parentheses or a ``-`` sign attribute make it negative; a leading minus
     toggles, so ``sign="-"`` with ``-5`` is 5.
     """
-    shown = strip_markup(text)
-    enclosed = F.startswith(shown, F.lit("(")) & F.endswith(shown, F.lit(")"))
-    inner = F.when(enclosed, F.regexp_replace(shown, "^\\((.*)\\)$", "$1")).otherwise(shown)
-    marked = (F.coalesce(sign, F.lit("")) == "-") | enclosed
-    negative = marked != F.startswith(inner, F.lit("-"))
+    marked = (F.coalesce(sign, F.lit("")) == "-") | (shown.startswith("(") & shown.endswith(")"))
     size = F.regexp_replace(inner, "[^0-9.]", "").try_cast("double")
-    return F.when(negative, -size).otherwise(size)
+    return F.when(marked != inner.startswith("-"), -size).otherwise(size)
+
+
+def parsed_number(text: Column, sign: Column) -> Column:
+    """Signed value of a displayed number, or null."""
+    shown = strip_markup(text)
+    return signed(shown, without_brackets(shown), sign)
 
 
 def number_from_words(text: Column) -> Column:

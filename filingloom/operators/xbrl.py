@@ -50,7 +50,8 @@ def dimensions_of(context: Column) -> Column:
     """Explicit dimensions as a map in key order; typed members are left out."""
     members = F.regexp_extract_all(context, F.lit(f'(?is)<{PREFIX}explicitMember\\b[^>]*\\bdimension="[^"]+"[^>]*>\\s*[^<]+?\\s*</{PREFIX}explicitMember>'), F.lit(0))
     entries = F.transform(members, lambda m: F.struct(attribute(F.regexp_extract(m, "(?s)^<[^>]*>", 0), "dimension").alias("key"), F.trim(F.regexp_extract(m, "(?s)>\\s*([^<]+?)\\s*<", 1)).alias("value")))
-    return _map(F.array_sort(entries))
+    # most contexts have none, which a plain search tells
+    return F.when(F.contains(F.lower(context), F.lit("explicitmember")), _map(F.array_sort(entries))).otherwise(F.create_map().cast("map<string, string>"))
 
 
 def contexts(content: Column) -> Column:
@@ -92,7 +93,11 @@ def classic_elements(content: Column) -> Column:
 
 
 def raw_facts(filings: DataFrame, keep: list[str]) -> DataFrame:
-    """Facts resolved within their document: ``keep`` columns, ordinal and the fact's parts."""
+    """Facts resolved within their document: ``keep`` columns, ordinal and the fact's parts.
+
+    ``number`` is null where an element is no fact: no number, or no end of
+    its period.
+    """
     classic = F.col("kind") == "xbrl"
     found = F.when(classic, classic_elements(F.col("content"))).otherwise(inline_elements(F.col("content")))
     parts = filings.select(*keep, classic.alias("classic"), contexts(F.col("content")).alias("contexts"), units(F.col("content")).alias("units"), found.alias("elements"))
@@ -110,28 +115,33 @@ def raw_facts(filings: DataFrame, keep: list[str]) -> DataFrame:
         )
 
     rows = parts.select(*keep, "classic", F.posexplode(F.filter(F.transform("elements", resolved), lambda e: e["context"].isNotNull())).alias("ordinal", "e"))
-    tag = F.col("e.tag")
-    name = F.regexp_extract(tag, "(?s)^<([^\\s/>]+)", 1)
-    rows = rows.where(~F.col("classic") | (tag.rlike('(?<![\\w:.-])unitRef\\s*=') & ~F.lower(name).startswith("xbrli:")))
-    concept = F.when(F.col("classic"), name).otherwise(attribute(tag, "name"))
-    shown = F.when(F.col("classic"), F.col("e.text")).otherwise(numbers.displayed(attribute(tag, "format"), F.col("e.text")))
-    instant = F.col("e.context.instant").isNotNull()
+    rows = rows.select(*keep, "classic", "ordinal", "e.*")
+    tag = F.col("tag")
     date = lambda c: F.try_to_date(c, "yyyy-MM-dd")
-    return rows.select(
+    # Each step is a projection of its own, so that no expression is worked out twice.
+    rows = rows.select(
         *keep,
+        "classic",
         "ordinal",
-        concept.alias("concept"),
-        numbers.parsed_number(shown, attribute(tag, "sign")).alias("number"),
+        F.when(F.col("classic"), F.regexp_extract(tag, "(?s)^<([^\\s/>]+)", 1)).otherwise(attribute(tag, "name")).alias("concept"),
+        (~F.col("classic") | tag.rlike('(?<![\\w:.-])unitRef\\s*=')).alias("numeric"),
+        F.when(F.col("classic"), F.lit("")).otherwise(attribute(tag, "format")).alias("format"),
+        numbers.strip_markup(F.col("text")).alias("bare"),
+        attribute(tag, "sign").alias("sign"),
         attribute(tag, "scale").alias("scale"),
         numbers.decimals(attribute(tag, "decimals")).alias("decimals"),
-        F.col("e.unit").alias("unit"),
-        F.when(~instant, date(F.col("e.context.start"))).alias("period_start"),
-        date(F.coalesce("e.context.instant", "e.context.stop")).alias("period_end"),
-        instant.alias("is_instant"),
-        F.col("e.context.dimensions").alias("dimensions"),
-        F.col("e.context_ref").alias("context_ref"),
-        F.col("e.unit_ref").alias("unit_ref"),
-    ).where("concept <> '' and number is not null and period_end is not null")
+        "unit",
+        F.when(F.col("context.instant").isNull(), date(F.col("context.start"))).alias("period_start"),
+        date(F.coalesce("context.instant", "context.stop")).alias("period_end"),
+        F.col("context.instant").isNotNull().alias("is_instant"),
+        F.col("context.dimensions").alias("dimensions"),
+        "context_ref",
+        "unit_ref",
+    ).where("concept <> '' and numeric and not (classic and lower(concept) like 'xbrli:%')")
+    rows = rows.withColumn("shown", numbers.displayed(F.col("format"), F.col("bare")))
+    rows = rows.withColumn("inner", numbers.without_brackets(F.col("shown")))
+    number = numbers.signed(F.col("shown"), F.col("inner"), F.col("sign"))
+    return rows.withColumn("number", F.when(F.col("period_end").isNotNull(), number)).drop("classic", "numeric", "format", "bare", "shown", "inner", "sign")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -159,7 +169,9 @@ def facts(filings: DataFrame, *, statements: DataFrame | None = None, negations:
         rows = rows.withColumn("negated", F.lit(False))
     rows = rows.join(labels.select("ref", "concept", "label"), ["ref", "concept"], "left") if labels is not None else rows.withColumn("label", F.lit(""))
     if deduplicate:
-        rows = first_of(rows, ["ref", "concept", "context_ref", "unit_ref"], ["ordinal"])
+        # elements that are no facts come last and go after the choice: a filter below it would work the number out twice
+        rows = first_of(rows, ["ref", "concept", "context_ref", "unit_ref"], [F.col("number").isNull(), "ordinal"])
+    rows = rows.where("number is not null")
     member = F.coalesce("statements", F.array().cast("array<string>"))
     rows = rows.select(
         F.col("entity_value").alias("cik"),
