@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -67,13 +67,19 @@ class Scratch:
         self._fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as read back; ``rows`` gives its number of rows, observed while it was written."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch_path, out._scratch_rows = path, int(seen.get["rows"])
         return out
 
+    @staticmethod
+    def rows(df: DataFrame) -> int:
+        return df._scratch_rows
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:

@@ -111,13 +111,13 @@ def may_hold(bitmap: np.ndarray, id_: Column) -> Column:
     return held(F.when(id_.isNotNull(), F.pmod(F.xxhash64(id_.cast("bigint")), F.lit(len(bitmap) * 8))))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, members`` (full sets) of the classes in ``wanted`` (id, key), from a second reading of their texts.
+def full_sets(docs: DataFrame, wanted: DataFrame, count: int, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``id, members`` (full sets) of the ``count`` classes in ``wanted`` (id, key), from a second reading of their texts.
 
     A bounded bitmap of the wanted ids keeps most other texts from being
     hashed again; the join on id and key then is exact.
     """
-    bits = filter_bits(wanted.count())
+    bits = filter_bits(count)
     bitmap = bit_filter(wanted, bits)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(bits)).alias("h"))
 
@@ -262,11 +262,11 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lists = inverted(classes).withColumn("component", F.col("id"))
     active = scratch.write(lists, "lists")
     small = scratch.write(classes.join(active.select("id").distinct(), "id", "left_semi"), "listed")
-    sets = scratch.write(full_sets(docs, small.select("id", "key"), **columns), "sets")
+    sets = scratch.write(full_sets(docs, small.select("id", "key"), scratch.rows(small), **columns), "sets")
     fine = sets.select("id", F.size("members").cast("bigint").alias("n"), short_values(F.slice("members", 1, FINE)).alias("fine"))
     labels = links = None
     for round_ in range(HUB_ROUNDS + 1):
-        if active.isEmpty():
+        if not scratch.rows(active):
             break
         if round_ < HUB_ROUNDS:
             order = -F.col("weight") if round_ == 0 else F.xxhash64("id", F.lit(round_)).cast("double")

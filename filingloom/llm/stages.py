@@ -44,7 +44,7 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80)
     names = [f"x{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     rows = docs.toDF(*names)
-    bitmap = neardup.bit_filter(marked, neardup.filter_bits(marked.count()))
+    bitmap = neardup.bit_filter(marked, neardup.filter_bits(scratch.rows(marked)))
     may = neardup.may_hold(bitmap, F.col(key))
     # Only texts that the filter may hold are moved; the join is exact, and the same at every size.
     looked = rows.where(may).join(marked.hint("merge"), F.col(key) == F.col("id"), "left")

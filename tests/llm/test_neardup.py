@@ -115,3 +115,13 @@ def test_components(spark, seed):
     got = cc.connected(spark.createDataFrame(edges, "a long, b long"), "a", "b", Scratch(spark, "cc")).collect()
     assert {r.node: r.component for r in got} == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert len(got) == len({r.node for r in got})
+
+
+def test_candidates_without_a_link(spark):
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(f"u{i}_{j}" for j in range(25))) for i in range(4)]
+    check(spark, rows)
+    got = cc.connected(spark.createDataFrame([], "a long, b long"), "a", "b", Scratch(spark, "cc"))
+    assert got.count() == 0
+    same = cc.connected(spark.createDataFrame([(1, 1)], "a long, b long"), "a", "b", Scratch(spark, "cc"))
+    assert same.count() == 0
