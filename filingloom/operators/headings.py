@@ -6,8 +6,6 @@ scores, the vote and the threshold are column expressions.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
