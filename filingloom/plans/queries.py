@@ -3,6 +3,11 @@
 Each query runs over whole tables.  Many render a table as filings, read them
 back with the engine and return what was read; their SQL selects the table's
 own columns.
+
+``sections_roundtrip``, ``contents_roundtrip``, ``cross_reference_roundtrip``
+and ``named_section_roundtrip`` read nine cleaned paragraphs of a document, as
+their SQL does; the ``whole_`` queries beside them read every paragraph as it
+stands.
 """
 
 from __future__ import annotations
@@ -500,6 +505,64 @@ def named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_sections(docs.select("ref", text("<html><body>", body, "</body></html>").alias("content")), ["Chapter second part"])
 
 
+WHOLE = r"""WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, ' +', ' ', 'g'))), lambda p: p <> '') AS l FROM documents),
+w AS (SELECT doc_id, CASE WHEN len(l) <= 9800 THEN l ELSE list_append(l[:9799], array_to_string(l[9800:], ' ')) END AS ps FROM lines),
+p AS (SELECT CAST(doc_id AS VARCHAR) AS ref, generate_subscripts(ps, 1) - 1 AS i, unnest(ps) AS body FROM w)
+"""
+NUMBER = "(i // 100 + 1) || '.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0')"
+
+
+@query(WHOLE + f"SELECT ref, 'Item ' || {NUMBER} AS item, body FROM p")
+def whole_sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import item_sections
+
+    # "Text:" keeps a paragraph from being read as a label of its own
+    paragraph = lambda p, i: F.concat(F.lit("<p>Item "), render.item_number(i), F.lit(". Heading</p><p>Text: "), p, F.lit("</p>"))
+    docs = render.whole_documents(spark, sf_dir)
+    found = item_sections(docs.select("ref", text("<html><body>", F.array_join(F.transform("shown", paragraph), "\n"), "</body></html>").alias("content")), item_label=windows.DECIMAL_LABEL)
+    return found.select("ref", "item", F.regexp_replace("text", "^Item [0-9.]+ Heading\\s+Text: ", "").alias("body"))
+
+
+@query(WHOLE + f"SELECT ref, {NUMBER} AS item, 'Item ' || {NUMBER} || '. Heading' AS title, body FROM p")
+def whole_contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import contents_sections
+
+    docs = render.whole_documents(spark, sf_dir)
+    row = lambda i, n: F.concat(F.lit('<tr><td><a href="#s'), i.cast("string"), F.lit('">Item '), n, F.lit('.</a></td><td><a href="#s'), i.cast("string"), F.lit('">Heading</a></td><td>9</td></tr>'))
+    rows = F.array_join(F.transform("shown", lambda p, i: row(i, render.item_number(i))), "")
+    body = F.array_join(F.transform("shown", lambda p, i: F.concat(F.lit('<div id="s'), i.cast("string"), F.lit('"></div><p>'), p, F.lit("</p>"))), "\n")
+    # contents of one entry aren't taken for contents: each document ends with an item of its own
+    end = row(F.lit("end"), F.lit("99.99"))
+    found = contents_sections(docs.select("ref", text("<html><body><table>", rows, end, "</table>", body, '<div id="send"></div><p>End</p></body></html>').alias("content")))
+    return found.where("item <> '99.99'").select("ref", "item", F.col("label").alias("title"), F.col("text").alias("body"))
+
+
+@query(WHOLE + "SELECT ref, CAST(i + 1 AS VARCHAR) AS item, body FROM p")
+def whole_cross_reference_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import cross_reference_sections
+
+    docs = render.whole_documents(spark, sf_dir)
+    number = lambda i: (i + 1).cast("string")
+    rows = F.array_join(F.transform("shown", lambda p, i: F.concat(F.lit("<tr><td>Item "), number(i), F.lit(".</td><td>Heading</td><td>"), number(i), F.lit("</td></tr>"))), "")
+    body = F.array_join(F.transform("shown", lambda p: F.concat(F.lit("<p>"), p, F.lit('</p><hr style="page-break-after: always"/>'))), "")
+    found = cross_reference_sections(docs.select("ref", text(body, "<p>FORM 10-K CROSS-REFERENCE INDEX</p><table>", rows, "</table>").alias("content")))
+    return found.select("ref", "item", F.col("text").alias("body"))
+
+
+CHAPTERS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")
+
+
+@query(WHOLE + f"""SELECT ref, 'Chapter ' || c || ' part' AS name, trim('Chapter ' || c || ' part ' || coalesce(string_agg(body, ' ' ORDER BY i), '')) AS text
+  FROM (SELECT DISTINCT ref FROM p) r CROSS JOIN (SELECT unnest({list(CHAPTERS)}) AS c, generate_subscripts({list(CHAPTERS)}, 1) - 1 AS k) LEFT JOIN (SELECT ref AS own, least(i, {len(CHAPTERS) - 1}) AS chapter, i, body FROM p) ON own = ref AND chapter = k GROUP BY ref, c""")
+def whole_named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingloom.operators.sections import extract_sections
+
+    docs = render.whole_documents(spark, sf_dir).withColumn("shown", render.rest_in_last(F.col("shown"), len(CHAPTERS)))
+    headings = [f"Chapter {c} part" for c in CHAPTERS]
+    body = text(*[x for i, h in enumerate(headings) for x in (f"<h2>{h}</h2><p>", F.coalesce(F.get("shown", F.lit(i)), F.lit("")), "</p>")])
+    return extract_sections(docs.select("ref", text("<html><body>", body, "</body></html>").alias("content")), headings)
+
+
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS ref, '001-' || s_suppkey AS commission_file_number, 'April 2024' AS report_month, CASE WHEN s_suppkey % 2 = 0 THEN '20-F' ELSE '40-F' END AS annual_report_form, 'Report of ' || s_name AS content_description FROM supplier""")
 def sixk_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.exhibits import sixk_covers as covers

@@ -143,3 +143,26 @@ def item_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = F.slice(F.filter(words, lambda p: F.length(p) > 0), 1, 9)
     body = F.array_join(F.transform(paragraphs, lambda p, i: F.concat(F.lit("<p>Item "), (i + 1).cast("string"), F.lit(". Heading</p><p>"), p, F.lit("</p>"))), "\n")
     return docs.where(F.size(paragraphs) > 0).select(F.col("doc_id").cast("string").alias("ref"), text("<html><body>", body, "</body></html>").alias("html"), paragraphs.alias("paragraphs"))
+
+
+#: Items "1.00" to "98.99"; the paragraphs from the last one on stand under it together.
+ITEMS = 9_800
+
+
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref, paragraphs, shown): every line of a document that isn't blank, spaces collapsed and nothing else changed, and the same as HTML text."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda p: F.trim(F.regexp_replace(p, " +", " "))), lambda p: p != "")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ref"), rest_in_last(lines, ITEMS).alias("paragraphs"))
+    escaped = lambda p: F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return docs.where(F.size("paragraphs") > 0).withColumn("shown", F.transform("paragraphs", escaped))
+
+
+def rest_in_last(paragraphs: Column, most: int) -> Column:
+    """At most so many paragraphs: those from the last place on are one, joined by spaces."""
+    rest = F.array_join(F.slice(paragraphs, F.lit(most), F.greatest(F.size(paragraphs), F.lit(1))), " ")
+    return F.when(F.size(paragraphs) <= most, paragraphs).otherwise(F.concat(F.slice(paragraphs, 1, most - 1), F.array(rest)))
+
+
+def item_number(i: Column) -> Column:
+    """"1.00", "1.01" and so on, of places from 0."""
+    return F.concat((F.floor(i / 100) + 1).cast("string"), F.lit("."), F.lpad((i % 100).cast("string"), 2, "0"))
