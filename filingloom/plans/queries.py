@@ -7,7 +7,9 @@ own columns.
 ``sections_roundtrip``, ``contents_roundtrip``, ``cross_reference_roundtrip``
 and ``named_section_roundtrip`` read nine cleaned paragraphs of a document, as
 their SQL does; the ``whole_`` queries beside them read every paragraph as it
-stands.
+stands.  ``most_common_value``, ``frames_cross_section`` and
+``provenance_join`` leave out what their SQL leaves out; the ``whole_`` queries
+of these names keep groups with ties and all facts.
 """
 
 from __future__ import annotations
@@ -314,6 +316,15 @@ def most_common_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.most_common(lines, by=["l_orderkey"], value="quantity", order="l_linenumber").join(plain, "l_orderkey")
 
 
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS place FROM lineitem),
+c AS (SELECT l_orderkey, l_returnflag AS quantity, CAST(count(*) AS BIGINT) AS n, min(place) AS first FROM o GROUP BY 1, 2)
+SELECT l_orderkey, quantity, n FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first) = 1""")
+def whole_most_common_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("quantity"), F.row_number().over(order).alias("place"))
+    return windows.most_common(lines, by=["l_orderkey"], value="quantity", order="place")
+
+
 # -- listings -----------------------------------------------------------------------
 
 
@@ -368,15 +379,21 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT cik, 'CY1997Q3I' AS frame, round(arg_max(o_totalprice, strftime(o_orderdate, '%Y-%m-%d') || '|' || lpad(accession, 12, ' ')), 2) AS value FROM f GROUP BY 1
   HAVING count(DISTINCT CAST(o_orderdate AS DATE)) = count(*)""")
 def frames_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997 and quarter(o_orderdate) = 3")
+    plain = quarter.groupBy(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik")).agg(F.countDistinct(F.to_date("o_orderdate")).alias("d"), F.count("*").alias("k")).where("d = k").select("cik")
+    return whole_frames_cross_section(spark, sf_dir).join(plain, "cik")
+
+
+@query("""WITH f AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS filed, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997 AND quarter(o_orderdate) = 3)
+SELECT cik, 'CY1997Q3I' AS frame, round(o_totalprice, 2) AS value FROM f QUALIFY row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) = 1""")
+def whole_frames_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     value = F.struct(render.day(F.col("o_orderdate")).alias("end"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").cast("string").alias("accn"), render.day(F.col("o_orderdate")).alias("filed"))
     own = orders.groupBy("o_custkey", "o_orderpriority").agg(F.collect_list(value).alias("values"))
     tags = own.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", F.struct(F.create_map(F.lit("USD"), F.col("values")).alias("units"))))).alias("tags"))
     payloads = tags.select(F.to_json(F.struct(F.col("o_custkey").alias("cik"), F.create_map(F.lit("tpch"), F.col("tags")).alias("facts"))).alias("json"))
     rows = listing.frames(listing.company_facts(payloads), "tpch", "1-URGENT", "USD", "CY1997Q3I")
-    quarter = orders.where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997 and quarter(o_orderdate) = 3")
-    plain = quarter.groupBy(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik")).agg(F.countDistinct(F.to_date("o_orderdate")).alias("d"), F.count("*").alias("k")).where("d = k").select("cik")
-    return rows.join(plain, "cik").select("cik", "frame", F.round("value", 2).alias("value"))
+    return rows.select("cik", "frame", F.round("value", 2).alias("value"))
 
 
 @query("""SELECT CAST(n_regionkey AS VARCHAR) AS ref, n_name || '.htm' AS filename, CASE WHEN n_nationkey % 3 = 0 THEN 'EX-99.1' ELSE '10-K' END AS type, CAST(n_nationkey AS INTEGER) AS size FROM nation WHERE n_nationkey % 3 = 0 OR contains(upper(n_name), 'IN')""")
@@ -619,7 +636,16 @@ def labels_over_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, count(*) AS facts, 1 AS documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY o_orderkey""")
 def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = line_facts(spark, sf_dir).where(F.substring_index("context_ref", "-", 1).cast("int") <= 3).withColumn("accession", F.col("accession").cast("bigint").cast("string"))
+    return _provenance(spark, sf_dir, line_facts(spark, sf_dir).where(F.substring_index("context_ref", "-", 1).cast("int") <= 3))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, count(*) AS facts, 1 AS documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def whole_provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _provenance(spark, sf_dir, line_facts(spark, sf_dir))
+
+
+def _provenance(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
+    facts = facts.withColumn("accession", F.col("accession").cast("bigint").cast("string"))
     documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("accession"), F.lit("d").alias("document"))
     extractions = facts.select("accession").distinct().withColumn("selector", F.lit(""))
     joined = documents.join(extractions, "accession").join(facts, "accession")

@@ -20,3 +20,22 @@ def test_every_paragraph_of_long_documents(spark, tmp_path):
     named = queries.QUERIES["whole_named_section_roundtrip"](spark, str(tmp_path)).collect()
     assert {r.text for r in named if r.ref == "1" and r.name == "Chapter ninth part"} == {" ".join(["Chapter ninth part", *own["1"][8:]])}
     assert sorted(tuple(r) for r in named) == sorted(db.execute(queries.ORACLES["whole_named_section_roundtrip"]).fetchall()) and len(named) == 27
+
+
+def test_ties_and_all_facts(spark, tmp_path):
+    day = "timestamp'1997-08-05'"
+    lines = [(1, i, 10 * i, i, f) for i, f in enumerate("RANAR" "NN", 1)] + [(2, 1, 5, 1, "A"), (2, 2, 4, 1, "N"), (3, 1, 2, 2, "N"), (3, 1, 1, 1, "R"), (4, 1, 1, 1, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").selectExpr("*", "'O' l_linestatus", "1.5D l_extendedprice", f"{day} l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, 7 if k in (2, 10, 9) else k, float(k)) for k in (1, 2, 3, 4, 9, 10)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").selectExpr("*", "'1-URGENT' o_orderpriority", f"{day} o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {
+        "whole_provenance_join": {("1", 7, 1), ("2", 2, 1), ("3", 2, 1), ("4", 1, 1)},
+        "whole_most_common_value": {(1, "N", 3), (2, "A", 1), (3, "R", 1), (4, "A", 1)},
+        "whole_frames_cross_section": {("0000000001", "CY1997Q3I", 1.0), ("0000000003", "CY1997Q3I", 3.0), ("0000000004", "CY1997Q3I", 4.0), ("0000000007", "CY1997Q3I", 9.0)},
+    }
+    for name, rows in want.items():
+        got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(rows) and set(got) == rows == set(db.execute(queries.ORACLES[name]).fetchall()), name
