@@ -1,10 +1,10 @@
 """License notices by conditional compression.
 
 Blocks around licence cues are compressed with zstandard, once alone and once
-with each template as a raw dictionary.  The reduction in size ranks the
-templates; a winner is confirmed by the exact differences in wording
-between it and the block: short notices must occur word for word, long texts
-may differ in a tenth of their words (names, years).
+with each template as a raw dictionary.  The reduction in size is reported as
+the gain and orders the templates; every template is held against the block by
+the exact differences in wording: short notices must occur word for word, long
+texts may differ in a tenth of their words (names, years).
 
 Whole texts are searched.  A block is the cue's line, for short notices, or the
 stretch of lines around it that could hold the longest template; the rest of
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,9 +55,6 @@ CUES = ("licen", "permission", "redistribut", "public domain")
 SHORT = 24
 """Templates of up to so many words must occur exactly."""
 TOLERANCE = 0.1
-LEAST_GAIN = 0.2
-"""Reduction in size below which a template isn't looked at."""
-RANKED = 4
 WORDS = re.compile(r"[A-Za-z0-9]+(?:[.'+-][A-Za-z0-9]+)*")
 
 
@@ -68,6 +66,7 @@ class Template:
     def __init__(self, name: str, text: str) -> None:
         self.name = name
         self.words = [w for w, _, _ in words_of(text)]
+        self.counts = Counter(self.words)
         self.short = len(self.words) <= SHORT
         self.span = len(text)
         self.size = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(text.lower().encode()))
@@ -82,6 +81,8 @@ class Template:
                 if own[i] == self.words[0] and own[i : i + n] == self.words:
                     return 0, 0, i, i + n - 1
             return None
+        if (self.counts & Counter(own)).total() < n - TOLERANCE * n:  # too few of its words are there in any order
+            return None
         matches = [m for m in difflib.SequenceMatcher(None, self.words, own, autojunk=False).get_matching_blocks() if m.size >= 2]
         if not matches:
             return None
@@ -103,7 +104,7 @@ def _ranked(block: str, short: bool) -> list[tuple[float, Template]]:
     data = block.lower().encode("utf-8", "surrogatepass")
     alone = len(plain.compress(data))
     gains = [((alone - len(t.compressor.compress(data))) / min(alone, t.size), i, t) for i, t in enumerate(templates) if t.short == short]
-    return [(g, t) for g, _, t in sorted(gains, key=lambda x: (-x[0], x[1]))[:RANKED] if g >= LEAST_GAIN]
+    return [(g, t) for g, _, t in sorted(gains, key=lambda x: (-x[0], x[1]))]
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:

@@ -38,3 +38,13 @@ def test_all_lines_of_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     lines = {r.doc_id for r in docs.collect() if re.search("Apache License, Version 2.0|CC BY-NC 4.0|GNU General Public License, version 3|the MIT License", r.text)}
     assert {r.doc_id for r in licenses.scan(docs).collect()} == lines
+
+
+def test_several_notices_in_a_line():
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) <= licenses.SHORT]
+    for n, t in short:
+        for m, u in short:
+            if t not in u and u not in t:
+                assert [f[0] for f in licenses.find(f"Text: {t}. Code: {u}.")] == [n, m]
+    amid = "ontion thand " * 50
+    assert [f[0] for f in licenses.find(f"{amid}Licensed under CC BY 4.0 {amid}Released under the MIT License {amid}")] == ["CC-BY-4.0", "MIT"]
