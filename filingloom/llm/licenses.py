@@ -91,6 +91,40 @@ class Template:
         missing, added = n - same, last - first + 1 - same
         return (missing, added, first, last) if missing + added <= TOLERANCE * n else None
 
+    def places(self, block: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """``differences`` of every place that passes: the words before and behind one are searched again."""
+        todo = [(0, len(block))]
+        while todo:
+            a, b = todo.pop()
+            if got := self.differences(block[a:b]) or self._among(block[a:b]):
+                missing, added, first, last = got
+                yield missing, added, a + first, a + last
+                todo += [(a, a + first), (a + last + 1, b)]
+
+    def _among(self, block: list[tuple[str, int, int]]) -> tuple[int, int, int, int] | None:
+        """A place that the longest runs of a block hide, as when several changed copies share them.
+
+        A place that passes keeps all but two of its pairs of words for each
+        difference, and they start within the tolerance of each other.
+        """
+        n = len(self.words)
+        slack = int(TOLERANCE * n)
+        if self.short or len(block) <= n + slack:
+            return None
+        pairs: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(zip(self.words, self.words[1:])):
+            pairs.setdefault(pair, []).append(i)
+        starts = sorted(j - i for j, (x, y) in enumerate(zip(block, block[1:])) for i in pairs.get((x[0], y[0]), ()))
+        upto, tried = 0, None
+        for k, start in enumerate(starts):
+            while upto < len(starts) and starts[upto] <= start + slack:
+                upto += 1
+            if start != tried and upto - k >= n - 1 - 2 * slack:
+                tried, low = start, max(start, 0)
+                if got := self.differences(block[low : start + slack + n]):
+                    return got[0], got[1], got[2] + low, got[3] + low
+        return None
+
 
 @lru_cache(maxsize=1)
 def prepared() -> tuple[list[Template], zstandard.ZstdCompressor, int]:
@@ -141,11 +175,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float, int, int]]:
             block = text[at:end]
             own = words_of(block)
             for gain, template in _ranked(block, short):
-                rest, base = own, 0
-                while got := template.differences(rest):
-                    missing, added, first, last = got
-                    found.append((template.name, at + rest[first][1], at + rest[last][2], round(gain, 4), missing, added, len(template.words)))
-                    rest, base = rest[last + 1 :], base + last + 1
+                for missing, added, first, last in template.places(own):
+                    found.append((template.name, at + own[first][1], at + own[last][2], round(gain, 4), missing, added, len(template.words)))
     found = sorted(set(found), key=lambda f: (-f[6], f[1], f[4] + f[5], f[0]))
     kept: list[tuple] = []
     for f in found:

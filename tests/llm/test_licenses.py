@@ -48,3 +48,19 @@ def test_several_notices_in_a_line():
                 assert [f[0] for f in licenses.find(f"Text: {t}. Code: {u}.")] == [n, m]
     amid = "ontion thand " * 50
     assert [f[0] for f in licenses.find(f"{amid}Licensed under CC BY 4.0 {amid}Released under the MIT License {amid}")] == ["CC-BY-4.0", "MIT"]
+
+
+def test_changed_copies_beside_exact_ones():
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) <= 60:
+            continue
+        early, late = words[:], words[:]
+        early[3] = early[10] = "changed"
+        late[-4] = late[-11] = "changed"
+        kinds = [" ".join(w) for w in (words, early, late)]
+        for a in kinds:
+            for b in kinds:
+                for c in kinds:
+                    got = licenses.find("\n".join(["some words before", a, "third party", b, "more of it", c, "the end"]))
+                    assert [f[0] for f in got] == [name] * 3, (name, kinds.index(a), kinds.index(b), kinds.index(c))
