@@ -146,6 +146,12 @@ def keys_of(kind: str, value: str) -> list[str]:
     return [f"n:{digits}"] if kind == "card" else [f"w:{value}"]
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, each place kept: letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[Span, str]]:
     """Places outside the base spans that share a key with one: (span, key)."""
     keys: dict[str, str] = {}
@@ -162,8 +168,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[Span, str]]:
             if key in keys:
                 found.append(((keys[key], m.start(), m.end()), key))
     wanted = [k[2:] for k in keys if k[0] == "w"]
-    low = text.lower()
-    if len(low) == len(text) and wanted and sum(map(low.count, wanted[:8])) + len(wanted) > 1:
+    low = lowered(text)
+    if wanted and sum(map(low.count, wanted[:8])) + len(wanted) > 1:
         for m in WORD.finditer(low):
             word = m[0].strip(",;:!?()[]{}<>\"'")
             word = word if "w:" + word in keys else word.rstrip(".")

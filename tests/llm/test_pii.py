@@ -100,3 +100,10 @@ def test_edges(spark):
     assert pii.report(docs.limit(0)).count() == 0
     hidden = pii.mask(docs)
     assert hidden.columns == docs.columns and hidden.where("text like '%@%'").count() == 0 and hidden.where("text is null").count() == 1
+
+
+def test_letters_that_grow_in_lower_case():
+    text = "İstanbul: John.Smith42@mail.example.com wrote. Ask JOHN.SMITH42 in İzmir; John.Smith42@MAIL.example.com."
+    base, spans = pii.detect(text, pii.Weights())
+    assert [text[a:b] for k, a, b in spans if (k, a, b) not in base] == ["JOHN.SMITH42"]
+    assert "smith" not in pii.masked(text, pii.Weights()).lower()
