@@ -1,12 +1,13 @@
 """Homomorphic multiset fingerprints of documents.
 
-Each paragraph (line that isn't empty) is hashed to a wide vector of 16-bit
-lanes; a document's fingerprint is the lanewise sum modulo 2**16.  Paragraphs
+Each paragraph (line that isn't empty) is hashed to a wide vector of
+lanes; a document's fingerprint is the lanewise sum modulo 2**32.  Paragraphs
 may thus be added or taken away without reading the rest, and their order
 doesn't matter.  The vector has two parts: ``EXACT`` lanes from SHAKE-128 of
 the paragraph, by which equal multisets are told from different ones, and
 ``LIKE`` lanes, a signed sketch of the paragraph's 16-byte windows, whose cosine
-estimates how much text two documents share.
+estimates how much text two documents share.  A lane of the sketch is a signed
+number; no text that fits a row repeats a window often enough to wrap it.
 
 Defined cases: a null text counts as empty, and an empty text's fingerprint is
 all zeros; two zero fingerprints are alike (1), a zero and another aren't (0).
@@ -39,11 +40,11 @@ MAX_BUCKETS = 1 << 15
 MIX = [np.uint64(int((p**0.5 % 1) * 2**64) | 1) for p in (2, 3, 5)]
 
 State = np.ndarray
-"""EXACT + LIKE lanes of uint16."""
+"""EXACT + LIKE lanes of uint32."""
 
 
 def zero() -> State:
-    return np.zeros(EXACT + LIKE, np.uint16)
+    return np.zeros(EXACT + LIKE, np.uint32)
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -77,11 +78,11 @@ def fingerprint(text: str | None) -> State:
     own = [p for p in data.split(b"\n") if p]
     for i in range(0, len(own), 4096):
         digests = b"".join([hashlib.shake_128(p).digest(2 * EXACT) for p in own[i : i + 4096]])
-        out[:EXACT] += np.frombuffer(digests, "<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint16)
+        out[:EXACT] += np.frombuffer(digests, "<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint32)
     counts = _windows(np.frombuffer(data, np.uint8))
     if short := [p for p in own if len(p) < WINDOW]:  # a short paragraph is one window of its own
         counts += _windows(np.frombuffer(b"\n".join(p.ljust(WINDOW, b"\0") for p in short), np.uint8))
-    out[EXACT:] = (counts[LIKE:] - counts[:LIKE]).astype(np.uint16)
+    out[EXACT:] = (counts[LIKE:] - counts[:LIKE]).astype(np.uint32)
     return out
 
 
@@ -99,17 +100,17 @@ def likeness(a: State, b: State) -> float:
     """1 for equal multisets of paragraphs, else the clipped cosine of the sketches, below 1."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a[EXACT:].view(np.int16).astype(np.float64), b[EXACT:].view(np.int16).astype(np.float64)
+    x, y = a[EXACT:].view(np.int32).astype(np.float64), b[EXACT:].view(np.int32).astype(np.float64)
     norm = float(np.sqrt((x @ x) * (y @ y)))
     return min(max(float(x @ y) / norm, 0.0), 0.999999) if norm else 0.0
 
 
 def to_text(state: State) -> str:
-    return base64.b64encode(state.astype("<u2").tobytes()).decode()
+    return base64.b64encode(state.astype("<u4").tobytes()).decode()
 
 
 def from_text(text: str) -> State:
-    return np.frombuffer(base64.b64decode(text), "<u2").astype(np.uint16)
+    return np.frombuffer(base64.b64decode(text), "<u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

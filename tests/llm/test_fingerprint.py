@@ -63,3 +63,13 @@ def test_likeness_on_documents(spark):
     rows = [r for r in fp.compare(docs).collect() if r.n_chars > 400]
     assert np.mean([r.near_edited for r in rows]) > 0.6 > 0.3 > np.median([r.near_next for r in rows])
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
+
+
+def test_likeness_of_a_line_repeated_often():
+    line, other = "The same line of a very long text.\n", "Quite another line that is as long\n"
+    for n in (30_000, 100_000):
+        text = line * n
+        changed = fp.edited(text, other * n)
+        a, b = fp.fingerprint(text), fp.fingerprint(changed)
+        assert 0.9 < fp.likeness(a, b) < 1 and fp.likeness(a, fp.fingerprint(other * n)) < 0.5
+        assert np.array_equal(fp.delete(fp.insert(a, changed), changed), a)
