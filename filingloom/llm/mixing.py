@@ -14,6 +14,10 @@ pass goes through all its blocks in shuffled order before the next begins.
 Points are evenly spread, so every stretch of the schedule, and every source's
 number of slots, keeps the shares.
 
+Slots are too coarse for a source of few blocks, so it is settled by words: its
+line is taken in whole passes and once more up to the word that makes its
+rounded target; its pieces share slots of the schedule, evenly spread.
+
 Everything is DataFrame functions.  Offsets within a source and ranks within
 the schedule are sums over bounded buckets plus windows inside a bucket, so a
 source of a third of all rows, or a long schedule, never meets in one task.
@@ -37,6 +41,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 128
 """Words of a block."""
+FEW, FEW_OUT = 16, 8
+"""Sources of fewer blocks, or with targets of fewer, are settled by words."""
 CELLS = 4096
 """Parts of the circle of points."""
 CHUNK = 65_536
@@ -117,39 +123,63 @@ class Mix:
         self.rows = write(rows, "sizes")
         totals = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = write(targets(totals, weights, most), "targets")
-        words = self.targets.agg(F.sum("source_size").alias("words")).first()["words"] or 0
-        self.slots = -(-int(words) // block)
         self.block = block
         self.most = most
         self.keep = keep
-        self.schedule = schedule(self.targets.select("n", "target"), self.slots)
+        self.few = (F.col("source_size") < FEW * block) | (F.col("target") < FEW_OUT * block)
+        sums = self.targets.agg(F.sum("source_size").alias("words"), F.sum(F.when(self.few, F.round("target"))).alias("few")).first()
+        self.slots = -(-max(0, int(sums["words"] or 0) - int(sums["few"] or 0)) // block)
+        self.schedule = schedule(self.targets.where(~self.few).select("n", "target"), self.slots)
+        # whole passes of a source settled by words, and where its last one ends
+        goal = F.round("target").cast("bigint")
+        self.passes = F.floor(goal / F.col("source_size"))
+        self.end = F.pmod(goal, "source_size")
 
     def placed(self) -> DataFrame:
         """Documents with words, laid on their source's line: ``n, order, start, size`` and the kept columns."""
         named = self.rows.alias("r").join(self.targets.select("source", "n", "source_size", "target").alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
         return lines(named).where("size > 0")
 
+    def block_at(self, place: Column) -> Column:
+        """The block that holds a place of a line; settled sources have two, up to their last pass's end and from there."""
+        return F.when(self.few, (place >= self.end).cast("bigint")).otherwise(F.floor(place / self.block))
+
+    def begin(self) -> Column:
+        """The first place of ``block``."""
+        return F.when(self.few, F.col("block") * self.end).otherwise(F.col("block") * self.block)
+
     def pieces(self) -> DataFrame:
         """Documents cut at block bounds: ``n, block, order, start, size, words`` and the kept columns."""
         placed = self.placed()
-        first, last = F.floor(F.col("start") / self.block), F.floor((F.col("start") + F.col("size") - 1) / self.block)
-        cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
-        own = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block) - F.greatest(F.col("start"), F.col("block") * self.block)
+        cut = placed.withColumn("block", F.explode(F.sequence(self.block_at(F.col("start")), self.block_at(F.col("start") + F.col("size") - 1))))
+        stop = F.when(self.few, F.when(F.col("block") == 0, self.end).otherwise(F.col("source_size"))).otherwise((F.col("block") + 1) * self.block)
+        own = F.least(F.col("start") + F.col("size"), stop) - F.greatest(F.col("start"), self.begin())
         return cut.withColumn("words", own)
 
+    def settled(self) -> DataFrame:
+        """``slot, n, pass, block`` of the sources settled by words."""
+        few = self.targets.where(self.few & (F.col("source_size") > 0))
+        both = few.select("n", self.passes.alias("passes"), self.end.alias("end"), F.explode(F.sequence(F.lit(0).cast("bigint"), self.passes)).alias("pass"))
+        both = both.withColumn("block", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+        both = both.where(F.when(F.col("block") == 0, F.col("end") > 0).otherwise(F.col("pass") < F.col("passes")))
+        phase = F.pmod(F.pmod("n", F.lit(PERIOD)) * STEP, F.lit(PERIOD)) / PERIOD
+        place = (F.col("pass") + (F.col("block") + phase) / 2) / (F.col("passes") + 1)
+        return both.select(F.floor(place * max(1, self.slots)).alias("slot"), "n", "pass", "block")
+
     def turns(self) -> DataFrame:
         """How often the schedule takes each block: ``n, block, times``.  The limit holds for every block."""
         blocks = self.targets.select("n", F.ceil(F.col("source_size") / self.block).alias("blocks"))
         ranked = self.schedule.join(blocks, "n").where(F.col("rank") < self.most * F.col("blocks"))
-        return ranked.groupBy("n", F.pmod("rank", "blocks").alias("block")).agg(F.count("*").alias("times"))
+        turns = ranked.select("n", F.pmod("rank", "blocks").alias("block")).unionByName(self.settled().select("n", "block"))
+        return turns.groupBy("n", "block").agg(F.count("*").alias("times"))
 
     def scheduled(self) -> DataFrame:
         """The mix itself: ``slot, pass, n, block``, words [from, to) of which document."""
         blocks = self.targets.select("n", F.ceil(F.col("source_size") / self.block).alias("blocks"))
         ranked = self.schedule.join(blocks, "n").where(F.col("rank") < self.most * F.col("blocks"))
-        taken = ranked.select("slot", "n", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), F.pmod("rank", "blocks").alias("block"))
+        taken = ranked.select("slot", "n", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), F.pmod("rank", "blocks").alias("block")).unionByName(self.settled())
         kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(self.keep)]
-        begin = F.greatest(F.col("block") * self.block - F.col("start"), F.lit(0))
+        begin = F.greatest(self.begin() - F.col("start"), F.lit(0))
         return self.pieces().withColumn("from", begin).join(taken, ["n", "block"]).select("slot", "pass", "source", *kept, "from", (F.col("from") + F.col("words")).alias("to"))
 
     def taken(self) -> DataFrame:

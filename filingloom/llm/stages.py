@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixed")
     mix = mixing.Mix(docs, ["doc_id", "source"], scratch.write)
     turns = mix.turns()
-    middle = F.floor((F.col("start") + F.floor(F.col("size") / 2)) / mix.block)
+    middle = mix.block_at(F.col("start") + F.floor(F.col("size") / 2))
     placed = mix.placed().withColumn("block", middle).join(turns, ["n", "block"])
     # Rows equal in id, source and size share their turns evenly.
     copies = placed.groupBy(F.col("k0").alias("k0"), F.col("k1").alias("k1"), F.col("size").alias("words")).agg(F.round(F.sum("times") / F.count("*")).cast("int").alias("copies"))

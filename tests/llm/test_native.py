@@ -161,3 +161,39 @@ def test_templates_are_rejected_by_purity(spark):
         if r.rule is None:
             verdicts[r.host + r.path.rsplit("/", 1)[0]].add(r.verdict)
     assert verdicts == {"shop.test/ads": {"block"}, "shop.test/news": {"allow"}, "other.test/ads": {"allow"}}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_small_sources_reach_their_targets(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:03d}": rng.choice([1, 20, 40, 60, 130, 700, 1500]) for i in range(60)} | {"large": 200_000, "larger": 500_000}
+    if seed:
+        sizes = {k: v for k, v in sizes.items() if v < 2000}
+    rows = []
+    for s, n in sizes.items():
+        while n > 0:
+            k = min(n, rng.choice([1, 7, 30, 400]) if sizes[s] < 2000 else 5000)
+            rows.append((len(rows), "w " * k, s))
+            n -= k
+    want = level_targets(sizes)
+    mix = mix_of(spark, rows)
+    of = {i: s for i, _, s in rows}
+    taken, spent = Counter(), Counter()
+    for r in mix.taken().collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[of[r.doc_id]] += r.taken
+    for r in mix.scheduled().collect():
+        assert 0 <= r["from"] < r["to"] and 0 <= r.slot < max(1, mix.slots)
+        spent[r.source] += r["to"] - r["from"]
+    assert +spent == +taken
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(1, 0.01 * t), (s, sizes[s], t, taken[s])
+
+
+def test_small_sources_stay_in_the_stage(spark):
+    from filingloom.llm import stages
+
+    rows = [(i, "w " * 40, f"s{i:03d}") for i in range(30)] + [(100 + i, "w " * 5000, "large") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in stages.mix_sources(docs).collect())
+    assert all(got[i] == 3 for i in range(30))
