@@ -1,24 +1,35 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 ``base_spans`` finds e-mail addresses, IP addresses, card and phone numbers by
-exact rules.  The field then labels further places: its nodes are the base
-spans of a document, the places that repeat or resemble one (the part before
-the @ of an address, a number written with other separators or without its
-country code) and the words next to them.  Node potentials come from a word's
-shape, chain potentials join neighbours, skip potentials join distant nodes
-with the same key; each node with a key is joined to the one before it, so the
-edges grow with the nodes, not their square.  Loopy belief propagation makes
-the labels consistent over the whole document.  Base spans are observed; a
-place is added when it is private with probability of at least ``SURE``.
-
-Weights are fitted on a bounded sample (``SAMPLE`` texts, by a hash of the id),
-whose labels are the base spans: shapes by logistic regression, chain and skip
-potentials by smoothed log odds of agreement.
+exact rules.  The field then labels every other token of a text that looks like
+an identifier (it holds a digit, @ or _) or shares a key with another node:
+
+* a node's potential comes from its shape;
+* a chain potential joins neighbours;
+* skip potentials join distant nodes through a hub for each key: the written
+  form (``exact``) or what is left of it without separators, the country code
+  or the host of an address (``similar``).  Edges grow with the nodes.
+
+Base spans are observed, and so is the hub of a base span's keys: what the
+patterns found is personal, however often it is repeated.  So each mention of a
+known entity is judged on that hub and its own surroundings, and more mentions
+never make one less private.  Loopy belief propagation carries labels on, along
+chains and through the hubs of other repeated tokens; a place is added when it
+is private with probability of at least ``SURE``.
+
+All potentials are fitted together, as a pseudo-likelihood, on a sample of about
+``SAMPLE`` texts by a hash of id and text, and used as fitted.  Patterns label
+only what they match, so the fit sees each base span degraded (without what made
+the pattern match): private in the text that holds the entity, not private in
+one that doesn't; identifiers that nothing personal shares a key with are
+negative.  The defaults are the prior's mean.
 
 All searches run in time proportional to the text, also on long runs of digits
-or letters.  Defined cases: a null text counts as empty; without base spans
-nothing is added; repeated rows get equal answers; an empty table fits default
-weights; extra input columns are ignored.
+or letters.  Defined cases: a null text counts as empty; parts of a graph without
+an observed span or a positive potential can't become private and are left
+out before messages are passed; of overlapping places the first and longest
+stays; repeated rows get equal answers; an empty table fits the default weights;
+extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,13 +110,20 @@ def base_spans(text: str | None) -> list[Span]:
 # -- the field ------------------------------------------------------------------
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){5,}+")
+MARK = re.compile("[0-9@_]")
+GROUP = re.compile("[0-9]+")
+DASHED = re.compile("(?<![0-9])[0-9]{1,3}(?:[-_][0-9]{1,3}){3}(?![0-9])")
+TRIM = ",;:!?()[]{}<>\"'`*#$%&|~=."
+BETWEEN = frozenset(" ().-")
+LEAST_DIGITS, LEAST_LETTERS = 7, 6
+"""Shorter numbers and names identify nobody."""
 SHAPES = 9
-UNARY = 6.0
+OBSERVED = 30.0
+"""Log odds of what is observed."""
 
 
 def shape(word: str) -> int:
-    """A word's features as bits."""
+    """A token's features as bits."""
     digits = sum(c.isdigit() for c in word)
     marks = [
         "@" in word,
@@ -123,27 +141,16 @@ def shape(word: str) -> int:
 
 @dataclass
 class Weights:
-    """Log odds of private: by shape bits and bias; potentials of equal labels along chains and skips."""
+    """Log odds of private by shape bits and bias; potentials of equal labels along chains and to hubs."""
 
-    bits: tuple[float, ...] = (3.0, 2.0, 0.5, -1.0, 2.0, 1.5, 0.0, 0.5, -2.0)
+    bits: tuple[float, ...] = (0.0,) * SHAPES
     bias: float = -3.0
     chain: float = 0.2
-    skip: float = 9.0
+    exact: float = 6.0
+    similar: float = 6.0
 
     def unary(self, features: int) -> float:
-        """Bounded, so that a shape alone never outweighs a repeated key."""
-        return max(-UNARY, min(UNARY, self.bias + sum(w for i, w in enumerate(self.bits) if features >> i & 1)))
-
-
-def keys_of(kind: str, value: str) -> list[str]:
-    """What a repetition of an entity shares with it."""
-    if kind == "email":
-        local = value.split("@")[0].lower()
-        return [f"w:{value.lower()}"] + ([f"w:{local}"] if len(local) >= 6 and any(not c.isalpha() for c in local) else [])
-    digits = "".join(DIGIT.findall(value))
-    if kind == "phone":
-        return [f"n:{digits}", f"n:{digits[-10:]}"] if len(digits) > 10 else [f"n:{digits}"]
-    return [f"n:{digits}"] if kind == "card" else [f"w:{value}"]
+        return self.bias + sum(w for i, w in enumerate(self.bits) if features >> i & 1)
 
 
 def lowered(text: str) -> str:
@@ -152,201 +159,305 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[Span, str]]:
-    """Places outside the base spans that share a key with one: (span, key)."""
-    keys: dict[str, str] = {}
-    for kind, a, b in base:
-        for key in keys_of(kind, text[a:b]):
-            keys.setdefault(key, kind)
-    if not keys:
+def squeezed(word: str) -> str:
+    """Letters and digits alone, in lower case."""
+    return "".join(c for c in word.lower() if c.isalnum())
+
+
+def digits_of(word: str) -> str:
+    return "".join(GROUP.findall(word))
+
+
+def keys_of(kind: str, value: str) -> list[tuple[str, str]]:
+    """(key, exact form) of what a repetition of an entity shares with it."""
+    if kind == "ip":
+        return [(f"i:{value}", value)]
+    if kind in ("card", "phone"):
+        digits = digits_of(value)
+        short = digits[-10:]
+        return [(f"n:{digits}", digits)] + ([(f"n:{short}", digits)] if len(digits) > 10 and kind == "phone" else [])
+    low = value.lower()
+    local = low.split("@")[0]
+    own = [(f"w:{squeezed(low)}", low)]
+    return own + ([(f"w:{squeezed(local)}", local)] if len(squeezed(local)) >= LEAST_LETTERS and not local.isalpha() else [])
+
+
+def degraded(kind: str, value: str) -> list[tuple[str, bool]]:
+    """Forms of an entity that no pattern matches, and whether each is the key's exact form."""
+    digits = digits_of(value)
+    if kind == "ip":
+        return [(value.replace(".", "-"), False)]
+    if kind == "card":
+        return [(".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), True)]
+    if kind == "phone":
+        return [(digits, True)] + ([(f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}", False)] if len(digits) > 10 else [])
+    local = value.split("@")[0]
+    if len(keys_of(kind, value)) == 1:
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    found: list[tuple[Span, str]] = []
-    if any(k[0] == "n" for k in keys):
-        for m in NUMBER.finditer(text):
-            key = "n:" + "".join(DIGIT.findall(m[0]))
-            if key in keys:
-                found.append(((keys[key], m.start(), m.end()), key))
-    wanted = [k[2:] for k in keys if k[0] == "w"]
+    return [(local, True), (re.sub("[.+%-]", "_", local) if re.search("[.+%-]", local) else f"{local[:3]}_{local[3:]}", False)]
+
+
+@dataclass
+class Node:
+    """A place that the field labels: its span, key, exact form there, and the base kind it is observed as, if any."""
+
+    start: int
+    end: int
+    key: str
+    form: str
+    kind: str | None = None
+
+
+def _numbers(text: str, wanted: frozenset[str]) -> Iterator[Node]:
+    """Places, at bounds of digit groups, whose digits are those of a wanted number; the longest from each start."""
+    most = max(map(len, wanted))
+    groups = [(m.start(), m.end()) for m in GROUP.finditer(text)]
+    after = 0
+    for i, (start, _) in enumerate(groups):
+        if start < after:
+            continue
+        held, found = "", None
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            if j > i and (a - groups[j - 1][1] > 2 or not BETWEEN.issuperset(text[groups[j - 1][1] : a])):
+                break
+            if len(held) + b - a > most:
+                break
+            held += text[a:b]
+            if held in wanted:
+                found = Node(start, b, f"n:{held}", held)
+        if found:
+            after = found.end
+            yield found
+
+
+def _marked(text: str) -> Iterator[re.Match]:
+    """The words that hold a mark."""
+    after = 0
+    while mark := MARK.search(text, after):
+        start = max(text.rfind(c, after, mark.start()) for c in "\x20\t\n\x0b\x0c\r") + 1
+        word = WORD.match(text, max(start, after))
+        yield word
+        after = word.end()
+
+
+def nodes_of(text: str, base: list[Span]) -> list[Node]:
+    """The field's nodes by place: base spans, places with a base span's key, and other tokens that look like identifiers."""
+    known: dict[str, str] = {}
+    taken = [Node(a, b, "", text[a:b], kind) for kind, a, b in base]
+    for kind, a, b in base:
+        for key, _ in keys_of(kind, text[a:b]):
+            known.setdefault(key, kind)
+    found: list[Node] = []
+    if wanted := frozenset(k[2:] for k in known if k[0] == "n" and len(k) - 2 >= LEAST_DIGITS):
+        found += _numbers(text, wanted)
+    if any(k[0] == "i" for k in known):
+        for m in DASHED.finditer(text):
+            key = "i:" + re.sub("[-_]", ".", m[0])
+            if key in known:
+                found.append(Node(m.start(), m.end(), key, m[0]))
     low = lowered(text)
-    if wanted and sum(map(low.count, wanted[:8])) + len(wanted) > 1:
-        for m in WORD.finditer(low):
-            word = m[0].strip(",;:!?()[]{}<>\"'")
-            word = word if "w:" + word in keys else word.rstrip(".")
-            if "w:" + word in keys:
-                a = m.start() + m[0].index(word)
-                found.append(((keys["w:" + word], a, a + len(word)), "w:" + word))
-    out = []
-    i = 0
-    for place in sorted(found, key=lambda f: (f[0][1], f[0][2])):
-        a, b = place[0][1:]
-        while i < len(taken) and taken[i][1] <= a:
+    letters = any(k[0] == "w" for k in known)
+    for m in WORD.finditer(low) if letters else _marked(low):
+        word = m[0]
+        marked = MARK.search(word)
+        bare = word.strip(TRIM)
+        key = "w:" + (bare if bare.isalnum() else squeezed(bare))
+        if not marked and key not in known or len(key) < 3:
+            continue
+        if bare.isascii() and not any(c.isalpha() for c in bare) and len(key) - 2 >= LEAST_DIGITS:
+            key = "n:" + key[2:]
+        start = m.start() + word.index(bare)
+        found.append(Node(start, start + len(bare), key, key[2:] if key[0] == "n" else bare))
+    # base spans come first, then what shares a key with one, then the rest
+    out = _fitting([n for n in found if n.key in known], taken)
+    out += _fitting([n for n in found if n.key not in known], taken + out)
+    return sorted(out + taken, key=lambda n: (n.start, n.end))
+
+
+def _fitting(places: list[Node], taken: list[Node]) -> list[Node]:
+    """Of ``places`` the first and longest that overlap neither each other nor ``taken``."""
+    limits = sorted((n.start, n.end) for n in taken)
+    out: list[Node] = []
+    i = reach = 0
+    for place in sorted(places, key=lambda n: (n.start, -n.end)):
+        while i < len(limits) and limits[i][0] < place.end:
+            reach = max(reach, limits[i][1])
             i += 1
-        if not any(s < b and a < e for s, e in taken[i : i + 8]) and (not out or out[-1][0][2] <= a):
+        if reach <= place.start and (not out or out[-1].end <= place.start):
             out.append(place)
     return out
 
 
+@dataclass
+class Graph:
+    """Nodes, their neighbours in the chain, and for each hub its members with whether they are in its exact form."""
+
+    nodes: list[Node]
+    chain: list[tuple[int, int]]
+    hubs: list[tuple[str | None, list[tuple[int, bool]]]]
+    """(kind of the base span that owns the key, members); base spans themselves aren't members."""
+
+
+def graph_of(text: str, base: list[Span]) -> Graph:
+    nodes = nodes_of(text, base)
+    chain = [(i, i + 1) for i, (x, y) in enumerate(zip(nodes, nodes[1:])) if 0 <= y.start - x.end <= 3 and not any(c.isalnum() for c in text[x.end : y.start])]
+    owner: dict[str, str] = {}
+    forms: dict[str, str] = {}
+    for kind, a, b in base:
+        for key, form in keys_of(kind, text[a:b]):
+            owner.setdefault(key, kind)
+            forms.setdefault(key, form)
+    members: dict[str, list[tuple[int, bool]]] = defaultdict(list)
+    for i, n in enumerate(nodes):
+        if n.kind is None:
+            members[n.key].append((i, forms.setdefault(n.key, n.form) == n.form))
+    return Graph(nodes, chain, [(owner.get(key), own) for key, own in members.items() if key in owner or len(own) > 1])
+
+
 def marginals(unary: list[float], observed: list[bool], edges: list[tuple[int, int, float]], rounds: int = ROUNDS) -> list[float]:
     """Log odds of private at each node, by loopy sum-product with damping.
 
     With two labels a message is one number: the odds it carries.  An edge of
     strength w multiplies equal labels by exp(w).
     """
-    n = len(unary)
-    around: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for e, (i, j, _) in enumerate(edges):
-        around[i].append((2 * e, 2 * e + 1))  # (message out of i, message into i)
-        around[j].append((2 * e + 1, 2 * e))
-    message = [0.0] * (2 * len(edges))
-    base = [30.0 if observed[i] else unary[i] for i in range(n)]
+    base = np.where(observed, OBSERVED, unary)
+    if not edges:
+        return base.tolist()
+    i, j = np.array([e[:2] for e in edges]).T
+    w = np.tile([e[2] for e in edges], 2)
+    of, to = np.concatenate([i, j]), np.concatenate([j, i])  # message k goes from of[k] to to[k]; k + n or k - n comes back
+    message = np.zeros(len(of))
     for _ in range(rounds):
-        total = [base[i] + sum(message[m] for _, m in around[i]) for i in range(n)]
-        moved = 0.0
-        fresh = message[:]
-        for i in range(n):
-            for out, into in around[i]:
-                x = max(-30.0, min(30.0, total[i] - message[into]))
-                w = edges[out // 2][2]
-                value = math.log((math.exp(x + w) + 1) / (math.exp(x) + math.exp(w)))
-                fresh[out] = 0.5 * message[out] + 0.5 * value
-                moved = max(moved, abs(fresh[out] - message[out]))
-        message = fresh
-        if moved < 1e-4:
+        total = base + np.bincount(to, message, len(base))
+        x = np.where(np.asarray(observed)[of], OBSERVED, np.clip(total[of] - np.roll(message, len(edges)), -OBSERVED, OBSERVED))
+        step = 0.5 * (np.logaddexp(x + w, 0) - np.logaddexp(x, w) - message)
+        message = message + step
+        if np.abs(step).max() < 1e-4:
             break
-    return [base[i] + sum(message[m] for _, m in around[i]) for i in range(n)]
+    return (base + np.bincount(to, message, len(base))).tolist()
+
+
+def energy(graph: Graph, weights: Weights) -> tuple[list[float], list[bool], list[tuple[int, int, float]]]:
+    """Potentials, observations and edges; the hubs follow the nodes and have no potential of their own."""
+    unary = [weights.unary(shape(n.form)) for n in graph.nodes] + [0.0] * len(graph.hubs)
+    observed = [n.kind is not None for n in graph.nodes] + [kind is not None for kind, _ in graph.hubs]
+    edges = [(i, j, weights.chain) for i, j in graph.chain]
+    first = len(graph.nodes)
+    edges += [(i, first + h, weights.exact if exact else weights.similar) for h, (_, own) in enumerate(graph.hubs) for i, exact in own]
+    return unary, observed, edges
 
 
 def added_spans(text: str, base: list[Span], weights: Weights, sure: float = SURE) -> list[Span]:
     """What the field adds to the base spans of a document."""
-    places = candidates(text, base) if base else []
-    if not places:
+    if not base and not MARK.search(text):
         return []
-    nodes: list[tuple[int, int]] = []
-    unary: list[float] = []
-    observed: list[bool] = []
-    groups: dict[str, list[int]] = defaultdict(list)
-    for kind, a, b in base:
-        for key in keys_of(kind, text[a:b]):
-            groups[key].append(len(nodes))
-        nodes.append((a, b))
-        unary.append(weights.unary(shape(text[a:b])))
-        observed.append(True)
-    first = len(nodes)
-    for (_, a, b), key in places:
-        groups[key].append(len(nodes))
-        nodes.append((a, b))
-        unary.append(weights.unary(shape(text[a:b])))
-        observed.append(False)
-    edges = [(i, j, weights.skip) for own in groups.values() for i, j in zip(own, own[1:])]
-    known = {p: i for i, p in enumerate(nodes)}
-    for i in range(first, first + len(places)):
-        a, b = nodes[i]
-        for near in (_word_before(text, a), _word_after(text, b)):
-            if near is None:
-                continue
-            j = known.get(near)
-            if j is None:
-                j = known[near] = len(nodes)
-                nodes.append(near)
-                unary.append(weights.unary(shape(text[near[0] : near[1]])))
-                observed.append(False)
-            edges.append((i, j, weights.chain))
-    odds = marginals(unary, observed, edges)
+    graph = graph_of(text, base)
+    unary, observed, edges = energy(graph, weights)
+    # Without an observation or a positive potential in reach nothing can become private.
+    around: dict[int, list[int]] = defaultdict(list)
+    for i, j, _ in edges:
+        around[i].append(j)
+        around[j].append(i)
+    todo = [i for i in range(len(unary)) if observed[i] or unary[i] > 0]
+    reached = set(todo)
+    while todo:
+        for j in around[todo.pop()]:
+            if j not in reached:
+                reached.add(j)
+                todo.append(j)
+    own = sorted(i for i in reached if not observed[i] and i < len(graph.nodes))
+    if not own:
+        return []
+    place = {i: k for k, i in enumerate(sorted(reached))}
+    odds = marginals([unary[i] for i in place], [observed[i] for i in place], [(place[i], place[j], w) for i, j, w in edges if i in place])
+    kinds = {i: kind for kind, members in graph.hubs for i, _ in members if kind}
     least = math.log(sure / (1 - sure))
-    return [span for k, (span, _) in enumerate(places) if odds[first + k] >= least]
-
+    return [(kinds.get(i) or likely_kind(graph.nodes[i].form), graph.nodes[i].start, graph.nodes[i].end) for i in own if odds[place[i]] >= least]
 
-REACH = 200
 
-
-def _word_before(text: str, at: int) -> tuple[int, int] | None:
-    found = None
-    low = max(0, at - REACH)
-    for found in WORD.finditer(text, low, at):  # noqa: B007
-        pass
-    return (found.start(), found.end()) if found else None
-
-
-def _word_after(text: str, at: int) -> tuple[int, int] | None:
-    m = WORD.search(text, at, at + REACH)
-    return (m.start(), m.end()) if m else None
+def likely_kind(form: str) -> str:
+    """The kind that a token without a known owner looks like."""
+    digits = len(digits_of(form))
+    if "@" in form or digits < LEAST_DIGITS:
+        return "email"
+    return "ip" if form.count(".") == 3 else "card" if digits >= 12 else "phone"
 
 
 # -- fitting ------------------------------------------------------------------------
 
+Example = tuple[int, int, int, int, int]
 
-def evidence(text: str) -> dict[tuple[str, int, int], int]:
-    """Counts that the weights are fitted from: (what, shape or place, label)."""
+
+def evidence(text: str) -> dict[Example, int]:
+    """Counts of (shape, sum of the neighbours' labels, exact hub's label, similar hub's label, label); labels of others are 1, -1 or 0 for none."""
     base = base_spans(text)
-    out: dict[tuple[str, int, int], int] = defaultdict(int)
-    i, before = 0, None
-    seen: dict[str, int] = {}
-    for m in WORD.finditer(text):
-        while i < len(base) and base[i][2] <= m.start():
-            i += 1
-        label = int(any(a < m.end() and m.start() < b for _, a, b in base[i : i + 4]))
-        out[("node", shape(m[0]), label)] += 1
-        if before is not None:
-            out[("chain", before, label)] += 1
-        before = label
-        key = m[0].strip(".,;:!?()").lower()
-        if len(key) >= 6 and not key.isalpha():
-            if key in seen:
-                out[("skip", seen[key], label)] += 1
-            seen[key] = label
+    out: dict[Example, int] = defaultdict(int)
+    if not base and not MARK.search(text):
+        return out
+    graph = graph_of(text, base)
+    near: dict[int, int] = defaultdict(int)
+    for i, j in graph.chain:
+        near[i] += 1 if graph.nodes[j].kind else -1
+        near[j] += 1 if graph.nodes[i].kind else -1
+    hub = {i: (owner, exact) for owner, own in graph.hubs for i, exact in own}
+    for i, n in enumerate(graph.nodes):
+        if n.kind:
+            for form, exact in degraded(n.kind, text[n.start : n.end]):
+                out[shape(form), near[i], int(exact), int(not exact), 1] += 1
+                out[shape(form), near[i], 0, 0, 0] += 1
+            continue
+        owner, exact = hub.get(i, (None, None))
+        if owner is None:  # what shares a key with a base span isn't known to be either
+            out[shape(n.form), near[i], -1 if exact else 0, -1 if exact is False else 0, 0] += 1
     return out
 
 
-def fit_weights(counts: dict[tuple[str, int, int], int]) -> Weights:
-    """Logistic regression on shapes by Newton steps; log odds of agreement for the edges."""
-    nodes = [(f, y, n) for (what, f, y), n in counts.items() if what == "node"]
-    if not any(y for _, y, _ in nodes):
-        return Weights()
-    x = np.array([[f >> i & 1 for i in range(SHAPES)] + [1] for f, _, _ in nodes], float)
-    y, n = np.array([y for _, y, _ in nodes], float), np.array([n for _, _, n in nodes], float)
-    w = np.zeros(SHAPES + 1)
-    for _ in range(50):
+def fit_weights(counts: dict[Example, int]) -> Weights:
+    """All potentials together by logistic regression with Newton steps, with a normal prior around the defaults."""
+    prior = Weights()
+    if not any(label for *_, label in counts):
+        return prior
+    rows = sorted(counts)
+    x = np.array([[f >> i & 1 for i in range(SHAPES)] + [1, chain, exact, similar] for f, chain, exact, similar, _ in rows], float)
+    y, n = np.array([r[-1] for r in rows], float), np.array([counts[r] for r in rows], float)
+    start = np.array([*prior.bits, prior.bias, prior.chain, prior.exact, prior.similar])
+    w = start.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (y - p)) - w
-        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(SHAPES + 1), slope)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        slope = x.T @ (n * (y - p)) - (w - start)
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(len(w)), slope)
+        w += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
             break
-
-    def agreement(what: str) -> float:
-        # odds of equal labels over unequal ones, against independence
-        t = np.ones((2, 2))
-        for (of, a, b), k in counts.items():
-            if of == what:
-                t[a, b] += k
-        return float(np.clip(0.5 * math.log(t[0, 0] * t[1, 1] / (t[0, 1] * t[1, 0])), 0.0, 12.0))
-
-    chain, skip = agreement("chain"), agreement("skip")
-    return Weights(tuple(w[:SHAPES]), float(w[-1]), min(chain, 0.5), max(skip, Weights.skip))
+    return Weights(tuple(map(float, w[:SHAPES])), *map(float, w[SHAPES:]))
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Weights:
-    """Weights from a bounded sample: about ``sample`` texts whose ids hash lowest."""
+    """Weights from a sample of about ``sample`` texts: those whose id and text hash lowest, the same in every run.
+
+    Each partition sends one row for each kind of example, whose number is bounded.
+    """
     source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     total = docs.count()
     if not total:
         return Weights()
     share = min(1 << 30, (sample << 30) // total + 1)
-    drawn = source.where((F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < share) & (F.length("text") <= SAMPLE_CHARS)).limit(2 * sample)
+    drawn = source.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share) & (F.length("text") <= SAMPLE_CHARS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[Example, int] = defaultdict(int)
         for batch in batches:
-            sums: dict[tuple[str, int, int], int] = defaultdict(int)
             for text in batch.column(1).to_pylist():
                 for k, n in evidence(text or "").items():
                     sums[k] += n
-            rows = [(*k, n) for k, n in sums.items()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["what", "a", "b", "n"])
+        rows = [(*k, n) for k, n in sums.items()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], EXAMPLE)
 
-    rows = drawn.mapInArrow(run, "what string, a int, b int, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    return fit_weights({(r["what"], r["a"], r["b"]): r["n"] for r in rows})
+    EXAMPLE = ["shape", "chain", "exact", "similar", "label", "n"]
+    rows = drawn.mapInArrow(run, ", ".join(f"{c} bigint" for c in EXAMPLE)).groupBy(*EXAMPLE[:-1]).agg(F.sum("n").alias("n")).collect()
+    return fit_weights({tuple(r[c] for c in EXAMPLE[:-1]): r["n"] for r in rows})
 
 
 # -- over documents -----------------------------------------------------------------
@@ -359,7 +470,7 @@ def joined(spans: list[Span]) -> str:
 def detect(text: str | None, weights: Weights) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a whole text."""
     base = base_spans(text)
-    more = added_spans(text, base, weights) if base else []
+    more = added_spans(text, base, weights) if text else []
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
 
