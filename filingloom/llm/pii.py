@@ -208,13 +208,18 @@ class Node:
     kind: str | None = None
 
 
+def _joins(letter: str) -> bool:
+    """Whether a digit group beside this character is part of a word."""
+    return letter.isalnum() or letter == "_"
+
+
 def _numbers(text: str, wanted: frozenset[str]) -> Iterator[Node]:
     """Places, at bounds of digit groups, whose digits are those of a wanted number; the longest from each start."""
     most = max(map(len, wanted))
     groups = [(m.start(), m.end()) for m in GROUP.finditer(text)]
     after = 0
     for i, (start, _) in enumerate(groups):
-        if start < after:
+        if start < after or (start and _joins(text[start - 1])):
             continue
         held, found = "", None
         for j in range(i, len(groups)):
@@ -224,7 +229,7 @@ def _numbers(text: str, wanted: frozenset[str]) -> Iterator[Node]:
             if len(held) + b - a > most:
                 break
             held += text[a:b]
-            if held in wanted:
+            if held in wanted and not _joins(text[b : b + 1]):
                 found = Node(start, b, f"n:{held}", held)
         if found:
             after = found.end
