@@ -86,6 +86,29 @@ class Scratch:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+HOT_KEYS, LEAST_HOT = 4_096, 1_000
+
+
+def join_by_size(rows: DataFrame, small: DataFrame, key: str, *, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``small`` for their key, hot keys split over many tasks.
+
+    ``small`` holds one row a key and in ``size`` its number of rows, which sum
+    to ``total``.  A key with more than one in ``HOT_KEYS`` of all rows (and more than
+    ``LEAST_HOT``) is cut into parts of that size: its row in ``small`` is
+    repeated for each, and the rows are dealt to the parts by a hash of their
+    columns.  So at most ``HOT_KEYS`` keys and numbers are broadcast, and ``small``
+    grows by as many rows at most.  ``size`` isn't passed on.  A null key
+    matches nothing (``how`` is inner or left).
+    """
+    part = max(LEAST_HOT, -(-total // HOT_KEYS))
+    sized = small.withColumn("_parts", F.ceil(F.col(size) / part).cast("int")).drop(size)
+    hot = sized.where("_parts > 1").select(key, "_parts")
+    dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.col("_parts")).cast("int")).otherwise(0)
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("_part", dealt).drop("_parts")
+    copies = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return spread.join(copies, [key, "_part"], how).drop("_part")
+
+
 def range_bucket(value: Column, splits: list[int]) -> Column:
     """Number of ``splits`` (ascending) that are <= value; 0 for null.  A native binary search."""
     if not splits:

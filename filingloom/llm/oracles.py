@@ -72,29 +72,37 @@ WITH split AS (
 ), best AS (
   SELECT r, arg_max(of || start, length(of || start)) AS rule, arg_max(verdict, length(of || start)) AS by_rule
   FROM named JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY r
+), cut AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments FROM named LEFT JOIN best USING (r)
 ), rows AS (
-  SELECT page_id, host, path, rule, by_rule, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS shape
-  FROM named LEFT JOIN best USING (r)
-), shapes AS (SELECT host, shape, count(*) AS urls, count(*) FILTER (by_rule = 'block') AS blocked, count(*) FILTER (by_rule = 'allow') AS allowed FROM rows GROUP BY 1, 2
-), deep AS (SELECT *, unnest(range(0, len(shape) + 1)) AS depth FROM shapes
-), nodes AS (SELECT *, shape[1:depth] AS node, CASE WHEN depth = len(shape) THEN 0 WHEN shape[depth + 1] = '*' THEN 1 ELSE 2 END AS kind FROM deep
+  SELECT page_id, host, path, rule, by_rule, list_concat(list_transform(segments[1:32], lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END), CASE WHEN len(segments) > 32 THEN ['**'] ELSE [] END) AS shape FROM cut
+), shapes AS (SELECT host, shape, count(*) AS urls, count(*) FILTER (by_rule = 'block') AS blocked, count(by_rule) AS labelled FROM rows GROUP BY 1, 2
+), deep AS (SELECT *, unnest(range(1, len(shape) + 1)) AS depth FROM shapes
+), nodes AS (SELECT *, shape[1:depth] AS node, CASE WHEN depth = len(shape) THEN 0 WHEN shape[depth + 1] IN ('*', '**') THEN 1 ELSE 2 END AS kind FROM deep
 ), tree AS (
-  SELECT host, node, sum(urls) AS urls, sum(blocked) AS blocked, sum(allowed) AS allowed,
-    CAST(floor(4 * sum(CASE WHEN kind = 0 THEN urls ELSE 0 END) / sum(urls)) AS INTEGER) || '' || CAST(floor(4 * sum(CASE WHEN kind = 1 THEN urls ELSE 0 END) / sum(urls)) AS INTEGER) || CAST(floor(4 * sum(CASE WHEN kind = 2 THEN urls ELSE 0 END) / sum(urls)) AS INTEGER)
-      || CASE WHEN sum(blocked) > sum(allowed) THEN 'b' WHEN sum(allowed) > 0 THEN 'a' ELSE 'u' END AS alike
+  SELECT host, node, node[1 : len(node) - 1] AS parent, sum(urls) AS urls, sum(blocked) AS blocked, sum(labelled) AS labelled,
+    sum(CASE WHEN kind = 0 THEN urls ELSE 0 END) AS below0, sum(CASE WHEN kind = 1 THEN urls ELSE 0 END) AS below1, sum(CASE WHEN kind = 2 THEN urls ELSE 0 END) AS below2
   FROM nodes GROUP BY 1, 2
+), everywhere AS (SELECT node, parent, sum(blocked) AS b, sum(labelled) AS l FROM tree GROUP BY 1, 2
+), tests AS (
+  SELECT t.host, t.node, t.urls, sum(t.urls) OVER siblings AS all_urls,
+    unnest([[t.blocked, t.labelled, sum(t.blocked) OVER siblings, sum(t.labelled) OVER siblings], [e.b, e.l, e.all_b, e.all_l], [t.below0, t.urls, sum(t.below0) OVER siblings, sum(t.urls) OVER siblings],
+      [t.below1, t.urls, sum(t.below1) OVER siblings, sum(t.urls) OVER siblings], [t.below2, t.urls, sum(t.below2) OVER siblings, sum(t.urls) OVER siblings]]::DOUBLE[][]) AS c
+  FROM tree t JOIN (SELECT *, sum(b) OVER (PARTITION BY parent) AS all_b, sum(l) OVER (PARTITION BY parent) AS all_l FROM everywhere) e ON e.node = t.node
+  WINDOW siblings AS (PARTITION BY t.host, t.parent)
+), apart AS (SELECT host, node, urls, all_urls, c, greatest(abs(c[1] * (c[4] - c[2]) - (c[3] - c[1]) * c[2]) - c[4] / 2, 0.0) AS d FROM tests
 ), steps AS (
-  SELECT a.host, a.node, CASE WHEN a.node[len(a.node)] = '*' OR a.urls * 20 < b.urls THEN '*' ELSE '~' || a.alike END AS step
-  FROM tree a JOIN tree b ON a.host = b.host AND b.node = a.node[1 : len(a.node) - 1] WHERE len(a.node) > 0
+  SELECT host, node, node[len(node)] AS segment, CASE WHEN segment IN ('*', '**') THEN segment
+    WHEN any_value(urls) * 20 < any_value(all_urls) OR (any_value(urls) < any_value(all_urls) AND bool_and(d * d * c[4] <= 4.0 * c[3] * (c[4] - c[3]) * c[2] * (c[4] - c[2]))) THEN '*' ELSE segment END AS step
+  FROM apart GROUP BY host, node
 ), built AS (
-  SELECT n.host, shape, '/' || string_agg(step, '/' ORDER BY depth) AS template FROM nodes n JOIN steps s ON s.host = n.host AND s.node = n.node WHERE depth > 0 GROUP BY 1, 2
+  SELECT n.host, shape, '/' || string_agg(step, '/' ORDER BY depth) AS template FROM nodes n JOIN steps s ON s.host = n.host AND s.node = n.node GROUP BY 1, 2
 ), template AS (SELECT s.*, coalesce(template, '/') AS template FROM shapes s LEFT JOIN built USING (host, shape)
-), sums AS (SELECT host, template, sum(blocked) AS b, sum(blocked + allowed) AS n FROM template GROUP BY 1, 2
-), hosts AS (SELECT host, sum(b) AS hb, sum(n) AS hn FROM sums GROUP BY 1
+), sums AS (SELECT host, template, sum(blocked) AS b, sum(labelled) AS n FROM template GROUP BY 1, 2
+), wide AS (SELECT *, sum(b) OVER (PARTITION BY host) AS hb, sum(n) OVER (PARTITION BY host) AS hn, sum(b) OVER (PARTITION BY template) AS tb, sum(n) OVER (PARTITION BY template) AS tn FROM sums
 ), judged AS (
-  SELECT host, template, n AS labelled, (b + 2 * (hb + 2 * (SELECT coalesce(sum(hb) / nullif(sum(hn), 0), 0.0) FROM hosts)) / (hn + 2)) / (n + 2) AS share FROM sums JOIN hosts USING (host)
+  SELECT host, template, (b + 2 * ((tb + 2 * ((hb + 2 * (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0.0) FROM sums)) / (hn + 2))) / (tn + 2))) / (n + 2) AS share FROM wide
 )
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN labelled > 0 AND share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(share, 6) AS share
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(share, 6) AS share
 FROM rows JOIN template USING (host, shape) JOIN judged USING (host, template)
 """
 
