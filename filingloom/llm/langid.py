@@ -107,14 +107,19 @@ class Model:
         return out
 
 
-def kernel(model: Model, presence: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Kernel values of texts (by their n-grams) against the landmarks."""
+def rows_of(model: Model, sets: list[np.ndarray]) -> np.ndarray:
+    """Texts (by their n-grams) by vocabulary, each row divided by the root of the text's number of n-grams."""
     block = np.zeros((len(sets), len(model.vocabulary)), np.float32)
     for i, own in enumerate(sets):
         at = np.searchsorted(model.vocabulary, own)
         at[at == len(model.vocabulary)] = 0
         block[i, at[model.vocabulary[at] == own]] = 1 / np.sqrt(len(own))
-    return block @ presence.T
+    return block
+
+
+def kernel(model: Model, presence: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Kernel values of texts against the landmarks."""
+    return rows_of(model, sets) @ presence.T
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks_per_class: int = LANDMARKS_PER_CLASS, ridge: float = RIDGE) -> Model | None:
@@ -142,9 +147,11 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks_per_class: int = LANDMAR
     return model
 
 
-def scores(model: Model, presence: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Regression values, texts by labels."""
-    return kernel(model, presence, sets).astype(np.float64) @ model.coefficients[:-1] + model.coefficients[-1]
+def scores(model: Model, presence: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Regression values, texts by labels, and each text's share of n-grams that a landmark holds."""
+    rows = rows_of(model, sets)
+    values = (rows @ presence.T).astype(np.float64) @ model.coefficients[:-1] + model.coefficients[-1]
+    return values, np.einsum("ij,ij->i", rows, rows)
 
 
 def draw(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> list[tuple[str, np.ndarray]]:
@@ -189,8 +196,9 @@ class LanguageIdentifier:
     def fit(cls, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = PER_CLASS, landmarks_per_class: int = LANDMARKS_PER_CLASS) -> LanguageIdentifier:
         return cls(fit(draw(docs, id_col, text_col, label_col, per_class), landmarks_per_class))
 
-    def predict_texts(self, texts: list[str | None], presence: np.ndarray | None = None) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+    def predict_texts(self, texts: list[str | None], presence: np.ndarray | None = None) -> list[tuple[str, float, float]]:
+        """(label, score, known) of each text; of labels with equal scores the first by name."""
+        out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         if self.model is None:
             return out
         presence = self.model.presence() if presence is None else presence
@@ -198,15 +206,19 @@ class LanguageIdentifier:
             held = [(i, g) for i in range(start, min(start + BATCH, len(texts))) if (g := grams(texts[i])) is not None]
             if not held:
                 continue
-            values = scores(self.model, presence, [g for _, g in held])
+            values, known = scores(self.model, presence, [g for _, g in held])
             best = values.argmax(axis=1)
             top = np.clip((values[np.arange(len(best)), best] + 1) / 2, 0, 1)
-            for (i, _), b, v in zip(held, best, top, strict=True):
-                out[i] = (self.model.labels[b], float(v))
+            for (i, _), b, v, k in zip(held, best, top, known, strict=True):
+                out[i] = (self.model.labels[b], float(v), min(1.0, float(k)))
         return out
 
     def predict(self, docs: DataFrame, keep: list[str], *, text_col: str = "text") -> DataFrame:
-        """``keep`` columns with ``lang_pred`` and ``score``, which may not be among them.  No shuffle."""
+        """``keep`` columns with ``lang_pred``, ``score`` and ``known``, which may not be among them.  No shuffle.
+
+        ``known`` is the share of the text's n-grams that some landmark holds:
+        near 0 for a language or script that no label stands for.
+        """
         taken = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
         source = docs.select(*taken, F.col(text_col).alias("text"))
         schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
@@ -217,11 +229,11 @@ class LanguageIdentifier:
             for batch in batches:
                 for part in slices(batch, at, 4 << 20):
                     got = self.predict_texts(part.column(at).to_pylist(), presence)
-                    columns = [part.column(i) for i in range(at)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                    yield pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(at)), "lang_pred", "score"])
+                    columns = [part.column(i) for i in range(at)] + [pa.array([g[0] for g in got], pa.string()), *[pa.array([g[i] for g in got], pa.float64()) for i in (1, 2)]]
+                    yield pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(at)), "lang_pred", "score", "known"])
 
-        out = source.mapInArrow(run, f"{schema}{', ' if keep else ''}lang_pred string, score double")
-        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+        out = source.mapInArrow(run, f"{schema}{', ' if keep else ''}lang_pred string, score double, known double")
+        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "known")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,11 +1,14 @@
 """The operators as stages over a table of documents.
 
 Each stage takes and returns the columns of its input, whatever they are;
-``doc_id``, ``text``, ``lang`` and ``source`` must be among them.
+``doc_id``, ``text``, ``lang`` and ``source`` must be among them.  No stage
+bounds a text's length, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +16,31 @@ from filingloom.llm import langid, mixing, neardup, pii
 from filingloom.llm.common import Scratch
 
 
-def keep_languages(docs: DataFrame) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter.
+KNOWN = 0.4
+
 
-    Documents whose language is recognised stay, whatever their label says; a
-    null label doesn't matter.  Without any labelled text nothing can be
-    recognised, and then every document that has a letter stays.
+def keep_languages(docs: DataFrame, *, languages: Collection[str] | None = None, known: float = KNOWN, least: float = 0.0, identifier: langid.LanguageIdentifier | None = None) -> DataFrame:
+    """Keep documents that are recognised as one of ``languages`` (all learned ones by default).
+
+    Recognised is a text whose predicted label is among them with a score of at
+    least ``least``, and of whose n-grams the model's landmarks hold at least the
+    share ``known``.  So texts in scripts or languages that no label stands for
+    go, and null texts and texts without a letter.  A document's own label plays
+    no part, but that the model is fitted on the labels (unless ``identifier`` is
+    given).  Without any labelled text nothing can be recognised, and then every
+    document that has a letter stays.  Texts of any length are scored whole; rows
+    that repeat are judged alike; an empty table gives an empty one.
     """
-    identifier = langid.LanguageIdentifier.fit(docs)
+    identifier = identifier or langid.LanguageIdentifier.fit(docs)
     if identifier.model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    predicted = identifier.predict(docs, docs.columns) if not {"lang_pred", "score"} & set(docs.columns) else None
-    if predicted is None:
-        renamed = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
-        text = f"x{docs.columns.index('text')}"
-        return identifier.predict(renamed, renamed.columns, text_col=text).where(F.col("lang_pred") != langid.UNDETERMINED).drop("lang_pred", "score").toDF(*docs.columns)
-    return predicted.where(F.col("lang_pred") != langid.UNDETERMINED).drop("lang_pred", "score")
+    names = [f"x{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    judged = identifier.predict(docs.toDF(*names), names, text_col=text)
+    kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known") >= known) & (F.col("score") >= least)
+    if languages is not None:
+        kept = kept & F.col("lang_pred").isin(*languages)
+    return judged.where(kept).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from filingloom.llm import mixing, neardup, pii, stages
+from filingloom.llm import langid, mixing, neardup, pii, stages
 from filingloom.llm.common import Scratch
 
 
@@ -32,6 +33,22 @@ def test_languages(spark, corpus):
     assert Counter(r.doc_id for r in corpus.collect()) - Counter(r.doc_id for r in got.collect()) == Counter({1002: 1, 1003: 1, 1004: 1})
 
 
+def test_the_model_decides_which_languages_stay(spark, corpus):
+    strange = documents(spark, [(2000, "η γάτα κάθισε στο χαλί με το καπέλο", None, "a", 1, 1, "k", 0.5), (2001, "кот сидел на ковре и потом убежал", None, "a", 1, 1, "k", 0.5)])
+    both = corpus.unionByName(strange)
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    everything = ids(stages.keep_languages(both))
+    assert everything == ids(stages.keep_languages(corpus)) and not {2000, 2001} & set(everything)
+    english = ids(stages.keep_languages(both, languages={"en"}))
+    french = ids(stages.keep_languages(both, languages={"fr"}))
+    assert english and french and english + french == everything
+    # models that learned other labels keep other rows: one that knows Greek, and one to which the two languages are swapped
+    greek = langid.LanguageIdentifier.fit(both.withColumn("lang", F.when(F.col("doc_id") == 2000, "el").otherwise(F.col("lang"))))
+    assert 2000 in ids(stages.keep_languages(both, identifier=greek))
+    swapped = langid.LanguageIdentifier.fit(corpus.replace({"en": "fr", "fr": "en"}, subset="lang"))
+    assert ids(stages.keep_languages(both, languages={"en"}, identifier=swapped)) == french
+
+
 def test_near_duplicates(spark, corpus):
     got = stages.drop_near_duplicates(corpus)
     assert got.columns == corpus.columns
