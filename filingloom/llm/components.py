@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import Scratch
+from filingloom.llm.common import Scratch, join_by_size
 
 
 def _written(edges: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, tuple]:
@@ -20,16 +20,16 @@ def _written(edges: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame,
     return kept, (seen.get["n"], seen.get["h"])
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    return join_by_size(both.where("v > u"), least, "u", size="size", total=2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     # Edges point from the larger node u to the smaller v.
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+    moved = join_by_size(edges, least, "u", size="size", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +39,7 @@ def connected(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     now, before = _written(now, "edges", scratch)
     while before[0]:
         last, seen = now, before
-        now, before = _written(_small(_large(last)), "star", scratch)
+        now, before = _written(_small(scratch.write(_large(last, seen[0]), "large"), seen[0]), "star", scratch)
         scratch.drop(last)
         if before == seen:
             break

@@ -19,8 +19,8 @@
 4. Components of the verified links give the result.
 
 No link between different classes is lost but with the probability that two
-sketches of alike sets share less than half (below 1e-7 a pair at k = 48 and
-similarity 0.8) or that a union sketch is off by more than ``SLACK`` (five
+sketches of alike sets share less than half (8e-7 a pair at k = 48 and similarity 0.8: fewer
+than 24 of 48 draws that succeed with 0.8) or that a union sketch is off by more than ``SLACK`` (five
 standard errors).
 
 Defined cases: without words or text a row has an empty set, size 0 and is its
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm import shingles
-from filingloom.llm.common import Scratch, slices
+from filingloom.llm.common import Scratch, join_by_size, slices
 from filingloom.llm.components import connected
 
 K = 48
@@ -149,28 +149,52 @@ def short_values(values: Column) -> Column:
     return F.unhex(F.array_join(turned, ""))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose sets are alike."""
-    a = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.where(estimate(k) >= percent / 100 - SLACK).select("a", "b")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    both = both.select("a", "b", (F.size("ma") + F.size("mb")).alias("total"), F.size(F.array_intersect("ma", "mb")).alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
+GROUP = 64
+"""Candidates that meet one copy of a hub's set."""
 
 
-def inverted(classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets are alike.
+
+    Of a pair's classes the one with more pairs is the hub.  A candidate's set
+    moves to its pairs, a hub's set once for each group of ``GROUP`` candidates; a class
+    with very many pairs is spread over tasks.
+    """
+    pairs = scratch.write(pairs, "pairs")
+    total = scratch.rows(pairs)
+    near = pairs
+    for side in "ab":
+        counted = pairs.groupBy(side).agg(F.count("*").alias("pairs")).withColumn(f"p{side}", F.col("pairs"))
+        own = counted.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+        near = join_by_size(near, own, side, size="pairs", total=total)
+    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(estimate(k) >= percent / 100 - SLACK)
+    hub, other = (F.when(F.col("pa") >= F.col("pb"), F.col(x)).otherwise(F.col(y)) for x, y in ("ab", "ba"))
+    near = near.select(hub.alias("hub"), other.alias("other"))
+    near = scratch.write(near, "near")
+    total = scratch.rows(near)
+    hubs = near.groupBy("hub").agg(F.count("*").alias("pairs")).withColumn("groups", F.ceil(F.col("pairs") / GROUP).cast("int"))
+    near = join_by_size(near, hubs, "hub", size="pairs", total=total).withColumn("group", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int"))
+    held = near.groupBy("other").agg(F.count("*").alias("pairs")).join(sets.select(F.col("id").alias("other"), F.col("members").alias("mo")), "other")
+    moved = join_by_size(near.select("hub", "other", "group"), held, "other", size="pairs", total=total)
+    centres = hubs.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("mh")), "hub")
+    centres = centres.select("hub", "mh", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    both = moved.join(centres, ["hub", "group"]).select("hub", "other", (F.size("mh") + F.size("mo")).alias("total"), F.size(F.array_intersect("mh", "mo")).alias("common"))
+    both = both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
+    return both.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).distinct()
+
+
+def inverted(classes: DataFrame, total: int) -> DataFrame:
     """``value, id, weight, listed``: each class under its rarest retained values, without values of one holder.
 
-    ``listed`` repeats all the class's values here.  ``weight`` is the sum of
+    ``total`` is about the number of retained values.  ``listed`` repeats all the class's values here.  ``weight`` is the sum of
     the logarithms of its values' holders: copies of one text each hold a few
     values of their own, the text that they were made from holds none, so the
     heaviest class of a list is its natural hub.
     """
     held = classes.select("id", F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    grouped = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("own"))
+    held = join_by_size(held, common.withColumn("size", F.col("holders")), "value", size="size", total=total)
+    grouped = held.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("own"))
     grouped = grouped.join(classes.select("id", F.size("sketch").alias("size")), "id")
     # size - size(own) values stand alone; they are the rarest and take their part of the prefix.
     taken = F.col("size") - F.ceil(F.col("size") / 2) + 1 - (F.col("size") - F.size("own"))
@@ -179,13 +203,13 @@ def inverted(classes: DataFrame) -> DataFrame:
     return few.select(F.explode("listed").alias("value"), "id", "weight", "listed")
 
 
-def _unfinished(lists: DataFrame) -> DataFrame:
-    """Rows of lists that hold more than one component."""
-    ends = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return lists.join(ends.select("value"), "value")
+def _unfinished(lists: DataFrame, total: int) -> DataFrame:
+    """Rows of lists that hold more than one component; ``total`` is the number of rows."""
+    ends = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return join_by_size(lists, ends.select("value", "size"), "value", size="size", total=total)
 
 
-def _blocks(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _blocks(lists: DataFrame, classes: DataFrame, percent: int, total: int) -> DataFrame:
     """Every pair (a, b) of one list and two components that passes the estimate, block against block.
 
     Within a list the classes outside its largest component are compared with
@@ -193,7 +217,7 @@ def _blocks(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     parts = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
     main = parts.groupBy("value").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    rows = lists.join(main, "value").join(classes.select("id", "n", "fine"), "id")
+    rows = join_by_size(lists, main.withColumn("size", F.col("all")), "value", size="size", total=total).join(classes.select("id", "n", "fine"), "id")
     row = F.struct("id", "component", "n", "fine", "listed")
 
     def cut(part: DataFrame, size: Column, block: str, rows_: str) -> DataFrame:
@@ -258,35 +282,36 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     columns = {"id_col": id_col, "text_col": text_col, "width": width}
     signed = scratch.write(signatures(docs, k=k, **columns), "signatures")
     held = signed.where("key is not null and id is not null")
-    classes = scratch.write(held.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = inverted(classes).withColumn("component", F.col("id"))
+    classes = scratch.write(held.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
+    lists = inverted(classes, k * scratch.rows(classes)).withColumn("component", F.col("id"))
     active = scratch.write(lists, "lists")
     small = scratch.write(classes.join(active.select("id").distinct(), "id", "left_semi"), "listed")
     sets = scratch.write(full_sets(docs, small.select("id", "key"), scratch.rows(small), **columns), "sets")
     fine = sets.select("id", F.size("members").cast("bigint").alias("n"), short_values(F.slice("members", 1, FINE)).alias("fine"))
     labels = links = None
     for round_ in range(HUB_ROUNDS + 1):
-        if not scratch.rows(active):
+        total = scratch.rows(active)
+        if not total:
             break
         if round_ < HUB_ROUNDS:
             order = -F.col("weight") if round_ == 0 else F.xxhash64("id", F.lit(round_)).cast("double")
-            hubs = active.groupBy("value").agg(F.min(F.struct(order.alias("order"), "id", "component")).alias("hub"))
-            pairs = active.join(hubs, "value").where(F.col("component") != F.col("hub.component"))
+            hubs = active.groupBy("value").agg(F.min(F.struct(order.alias("order"), "id", "component")).alias("hub"), F.count("*").alias("size"))
+            pairs = join_by_size(active, hubs, "value", size="size", total=total).where(F.col("component") != F.col("hub.component"))
             pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         else:
-            pairs = _blocks(active, fine, percent)
-        found = scratch.write(_verified(pairs, small, sets, percent, k), "links")
+            pairs = _blocks(active, fine, percent, total)
+        found = scratch.write(_verified(pairs, small, sets, percent, k, scratch), "links")
         links = found if links is None else links.unionByName(found)
         labels = scratch.write(connected(links, "a", "b", scratch), "labels")
         if round_ < HUB_ROUNDS:
             again = active.drop("component").join(labels, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-            after = scratch.write(_unfinished(again), "active")
+            after = scratch.write(_unfinished(again, total), "active")
             scratch.drop(active)
             active = after
-    own = signed.select("id", "n", "key").join(classes.select("key", F.col("id").alias("first")), "key", "left")
+    first = classes.select("key", F.col("id").alias("first"), "copies")
     if labels is not None:
-        own = own.join(labels, F.col("first") == F.col("node"), "left")
-        component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
-    else:
-        component = F.when(F.col("id").isNotNull(), F.coalesce("first", "id"))
+        first = first.join(labels, F.col("first") == F.col("node"), "left").select("key", F.coalesce("component", "first").alias("first"), "copies")
+    # a group of copies is one key: its rows are spread
+    own = join_by_size(signed.select("id", "n", "key"), first, "key", size="copies", total=scratch.rows(signed), how="left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first", "id"))
     return own.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
