@@ -12,10 +12,10 @@ SIDES = ("top", "right", "bottom", "left")
 
 def declarations(style: Column) -> Column:
     """map<property, value> of a style attribute, lower case; of a repeated property the last counts."""
-    from filingloom.operators.xbrl import _map
+    from filingloom.operators.xbrl import small_map
 
     parts = F.filter(F.split(F.lower(F.coalesce(style, F.lit(""))), ";"), lambda p: F.contains(p, F.lit(":")))
-    return _map(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value"))))
+    return small_map(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value"))))
 
 
 def pixels(value: Column) -> Column:

@@ -1,8 +1,8 @@
 """Numeric facts of XBRL documents.
 
 A document is read once: contexts, units and fact elements are cut out of its
-text by regular expressions, facts find their context and unit in maps built
-from the same row, and only narrow fact rows leave the scan.  So extraction
+text by regular expressions, facts find their context and unit in an index built
+from the same row (its cost follows the number of contexts, repeated ids or not), and only narrow fact rows leave the scan.  So extraction
 needs no join and no shuffle, and ``content`` never enters an exchange.
 """
 
@@ -21,6 +21,7 @@ from filingloom.schemas import FACT_COLUMNS
 #: Elements that carry numeric facts, inline and in classic instances; any prefix is taken.
 PREFIX = "(?:\\w+:)?"
 INLINE_FACT = "(?is)<ix:nonFraction\\b[^>]*>.*?</ix:nonFraction>"
+ATTRIBUTE = '([\\w:.-]+)\\s*=\\s*"([^"]*)"'
 CLASSIC_FACT = '(?is)<([\\w-]+:[\\w.-]+)\\b[^>]*\\bcontextRef="[^"]+"[^>]*>[^<]*</\\1>'
 
 
@@ -34,28 +35,57 @@ def _elements(content: Column, name: str) -> Column:
 
 
 def _inner(element: Column, name: str) -> Column:
-    """Text of the first child of that name without white space in it; null when absent."""
-    text = F.regexp_extract(element, f"(?is)<{PREFIX}{name}>\\s*([^<\\s]+)\\s*</{PREFIX}{name}>", 1)
-    return F.when(text != "", text)
+    """Text of the first child of that name without white space in it; empty when absent."""
+    return F.regexp_extract(element, f"(?is)<{PREFIX}{name}>\\s*([^<\\s]+)\\s*</{PREFIX}{name}>", 1)
 
 
-def _map(entries: Column) -> Column:
-    """Map of struct(key, value) entries; of equal keys the last one counts."""
+def last_of_key(entries: str) -> Column:
+    """Of a column's struct(key, ...) entries the last of each key, in the order of the keys.
+
+    ``entries`` must be a column of the input, not an expression: it is read
+    once for each entry.
+    """
+    places = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+    after = F.slice(places, F.lit(2), F.greatest(F.size(entries), F.lit(1)))
+    kept = F.filter(F.zip_with(places, after, lambda x, y: F.when(~x["key"].eqNullSafe(y["key"]), x["at"])), lambda at: at.isNotNull())
+    return F.transform(kept, lambda at: F.get(F.col(entries), at))
+
+
+def small_map(entries: Column) -> Column:
+    """Map of a few struct(key, value) entries; of equal keys the last one counts."""
     keys = entries["key"]
     last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
     return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last))
 
 
+PARTS = 64
+
+
+def indexed(entries: str) -> Column:
+    """Maps of a column's struct(key, value) entries, dealt by a hash of the key, so that a search reads one small map."""
+    entry = lambda e: F.struct(e["key"], e["value"])
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda part: F.map_from_entries(F.transform(F.filter(entries, lambda e: F.pmod(F.hash(e["key"]), F.lit(PARTS)) == part), entry)))
+
+
+def found_in(index: Column, key: Column) -> Column:
+    """The value of a key in ``indexed`` entries, or null."""
+    return F.try_element_at(F.get(index, F.pmod(F.hash(key), F.lit(PARTS))), key)
+
+
 def dimensions_of(context: Column) -> Column:
     """Explicit dimensions as a map in key order; typed members are left out."""
     members = F.regexp_extract_all(context, F.lit(f'(?is)<{PREFIX}explicitMember\\b[^>]*\\bdimension="[^"]+"[^>]*>\\s*[^<]+?\\s*</{PREFIX}explicitMember>'), F.lit(0))
     entries = F.transform(members, lambda m: F.struct(attribute(F.regexp_extract(m, "(?s)^<[^>]*>", 0), "dimension").alias("key"), F.trim(F.regexp_extract(m, "(?s)>\\s*([^<]+?)\\s*<", 1)).alias("value")))
     # most contexts have none, which a plain search tells
-    return F.when(F.contains(F.lower(context), F.lit("explicitmember")), _map(F.array_sort(entries))).otherwise(F.create_map().cast("map<string, string>"))
+    # a context has few dimensions; one that it names twice keeps the greatest member
+    ordered = F.array_sort(entries)
+    later = F.slice(ordered, F.lit(2), F.greatest(F.size(members), F.lit(1)))
+    kept = F.filter(F.zip_with(ordered, later, lambda x, y: F.when(~x["key"].eqNullSafe(y["key"]), x)), lambda x: x.isNotNull())
+    return F.when(F.contains(F.lower(context), F.lit("explicitmember")), F.map_from_entries(kept)).otherwise(F.create_map().cast("map<string, string>"))
 
 
 def contexts(content: Column) -> Column:
-    """map<id, struct<instant, start, stop, dimensions>> of a document."""
+    """Entries (key, struct<instant, start, stop, dimensions>) of a document, repeats included; absent dates are empty."""
     found = F.transform(
         _elements(content, "context"),
         lambda c: F.struct(
@@ -63,11 +93,11 @@ def contexts(content: Column) -> Column:
             F.struct(_inner(c, "instant").alias("instant"), _inner(c, "startDate").alias("start"), _inner(c, "endDate").alias("stop"), dimensions_of(c).alias("dimensions")).alias("value"),
         ),
     )
-    return _map(F.filter(found, lambda e: e["key"] != ""))
+    return F.filter(found, lambda e: e["key"] != "")
 
 
 def units(content: Column) -> Column:
-    """map<id, unit> of a document: a measure's local name, or numerator/denominator."""
+    """Entries (key, unit) of a document, repeats included: a measure's local name, or numerator/denominator."""
 
     def measure(block: Column) -> Column:
         return local_name(F.regexp_extract(block, f"(?is)<{PREFIX}measure>\\s*([^<]+?)\\s*</{PREFIX}measure>", 1))
@@ -80,7 +110,7 @@ def units(content: Column) -> Column:
         return F.when(block.rlike(f"(?is)<{PREFIX}divide>"), quotient).otherwise(measure(block))
 
     found = F.transform(_elements(content, "unit"), lambda u: F.struct(attribute(F.regexp_extract(u, "(?s)^<[^>]*>", 0), "id").alias("key"), unit(u).alias("value")))
-    return _map(F.filter(found, lambda e: e["key"] != ""))
+    return F.filter(found, lambda e: e["key"] != "")
 
 
 def inline_elements(content: Column) -> Column:
@@ -100,43 +130,41 @@ def raw_facts(filings: DataFrame, keep: list[str]) -> DataFrame:
     """
     classic = F.col("kind") == "xbrl"
     found = F.when(classic, classic_elements(F.col("content"))).otherwise(inline_elements(F.col("content")))
-    parts = filings.select(*keep, classic.alias("classic"), contexts(F.col("content")).alias("contexts"), units(F.col("content")).alias("units"), found.alias("elements"))
-
-    def resolved(element: Column) -> Column:
-        tag = F.regexp_extract(element, "(?s)^<[^>]*>", 0)
-        context, unit = attribute(tag, "contextRef"), attribute(tag, "unitRef")
-        return F.struct(
-            tag.alias("tag"),
-            F.regexp_extract(element, "(?s)^<[^>]*>(.*)</[^>]*>$", 1).alias("text"),
-            context.alias("context_ref"),
-            unit.alias("unit_ref"),
-            F.try_element_at("contexts", context).alias("context"),
-            F.coalesce(F.try_element_at("units", unit), F.lit("")).alias("unit"),
-        )
-
-    rows = parts.select(*keep, "classic", F.posexplode(F.filter(F.transform("elements", resolved), lambda e: e["context"].isNotNull())).alias("ordinal", "e"))
+    held = [*keep, "classic", "elements"]
+    parts = filings.select(*keep, classic.alias("classic"), found.alias("elements"), contexts(F.col("content")).alias("contexts"), units(F.col("content")).alias("units"))
+    parts = parts.select(*held, last_of_key("contexts").alias("contexts"), last_of_key("units").alias("units"))
+    parts = parts.select(*held, indexed("contexts").alias("contexts"), indexed("units").alias("units"))
+
+    # Each step reads a part of an element once; they stand in the generator, which no projection is merged into.
+    tags = F.transform("elements", lambda e: F.struct(F.regexp_extract(e, "(?s)^<[^>]*>", 0).alias("tag"), F.regexp_extract(e, "(?s)^<[^>]*>(.*)</[^>]*>$", 1).alias("text")))
+    tags = F.transform(tags, lambda t: F.struct(t["tag"].alias("tag"), t["text"].alias("text"), F.regexp_extract_all(t["tag"], F.lit(ATTRIBUTE), F.lit(1)).alias("names"), F.regexp_extract_all(t["tag"], F.lit(ATTRIBUTE), F.lit(2)).alias("values")))
+    parts_of = lambda t: [t[c].alias(c) for c in ("tag", "text", "names", "values")]
+    tags = F.transform(tags, lambda t: F.struct(*parts_of(t), _named(t["names"], t["values"], "contextRef").alias("context_ref"), _named(t["names"], t["values"], "unitRef").alias("unit_ref")))
+    tags = F.transform(tags, lambda t: F.struct(*parts_of(t), t["context_ref"].alias("context_ref"), t["unit_ref"].alias("unit_ref"), found_in(F.col("contexts"), t["context_ref"]).alias("context"), found_in(F.col("units"), t["unit_ref"]).alias("unit")))
+    rows = parts.select(*keep, "classic", F.posexplode(F.filter(tags, lambda t: t["context"].isNotNull())).alias("ordinal", "e"))
     rows = rows.select(*keep, "classic", "ordinal", "e.*")
-    tag = F.col("tag")
+    of = lambda name: _named(F.col("names"), F.col("values"), name)
     date = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    is_instant = F.col("context.instant") != ""
     # Each step is a projection of its own, so that no expression is worked out twice.
     rows = rows.select(
         *keep,
         "classic",
         "ordinal",
-        F.when(F.col("classic"), F.regexp_extract(tag, "(?s)^<([^\\s/>]+)", 1)).otherwise(attribute(tag, "name")).alias("concept"),
-        (~F.col("classic") | tag.rlike('(?<![\\w:.-])unitRef\\s*=')).alias("numeric"),
-        F.when(F.col("classic"), F.lit("")).otherwise(attribute(tag, "format")).alias("format"),
+        F.when(F.col("classic"), F.regexp_extract("tag", "(?s)^<([^\\s/>]+)", 1)).otherwise(of("name")).alias("concept"),
+        (~F.col("classic") | F.array_contains("names", "unitRef")).alias("numeric"),
+        F.when(F.col("classic"), F.lit("")).otherwise(of("format")).alias("format"),
         numbers.strip_markup(F.col("text")).alias("bare"),
-        attribute(tag, "sign").alias("sign"),
-        attribute(tag, "scale").alias("scale"),
-        numbers.decimals(attribute(tag, "decimals")).alias("decimals"),
-        "unit",
-        F.when(F.col("context.instant").isNull(), date(F.col("context.start"))).alias("period_start"),
-        date(F.coalesce("context.instant", "context.stop")).alias("period_end"),
-        F.col("context.instant").isNotNull().alias("is_instant"),
+        of("sign").alias("sign"),
+        of("scale").alias("scale"),
+        numbers.decimals(of("decimals")).alias("decimals"),
+        F.coalesce("unit", F.lit("")).alias("unit"),
+        F.when(~is_instant, date(F.col("context.start"))).alias("period_start"),
+        date(F.when(is_instant, F.col("context.instant")).otherwise(F.col("context.stop"))).alias("period_end"),
+        is_instant.alias("is_instant"),
         F.col("context.dimensions").alias("dimensions"),
-        "context_ref",
-        "unit_ref",
+        F.coalesce("context_ref", F.lit("")).alias("context_ref"),
+        F.coalesce("unit_ref", F.lit("")).alias("unit_ref"),
     ).where("concept <> '' and numeric and not (classic and lower(concept) like 'xbrli:%')")
     rows = rows.withColumn("shown", numbers.displayed(F.col("format"), F.col("bare")))
     rows = rows.withColumn("inner", numbers.without_brackets(F.col("shown")))
@@ -144,6 +172,11 @@ def raw_facts(filings: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumn("number", F.when(F.col("period_end").isNotNull(), number)).drop("classic", "numeric", "format", "bare", "shown", "inner", "sign")
 
 
+def _named(names: Column, values: Column, name: str) -> Column:
+    """The first attribute of a name; empty when absent."""
+    return F.coalesce(F.get(values, F.array_position(names, name).cast("int") - 1), F.lit(""))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order."""
     ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

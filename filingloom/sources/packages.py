@@ -86,9 +86,9 @@ def canonical_prefixes(content: Column) -> Column:
     declared = F.regexp_extract_all(content, F.lit('xmlns:([A-Za-z0-9._-]+)\\s*=\\s*"[^"]*xbrl\\.frc\\.org\\.uk[^"]*/(?:core|business|direp|aurep|countries|currencies|languages)"'), F.lit(1))
     ends = F.regexp_extract_all(content, F.lit('xmlns:[A-Za-z0-9._-]+\\s*=\\s*"[^"]*xbrl\\.frc\\.org\\.uk[^"]*/(core|business|direp|aurep|countries|currencies|languages)"'), F.lit(1))
     known = F.create_map(*[F.lit(x) for item in CANONICAL.items() for x in item])
-    from filingloom.operators.xbrl import _map
+    from filingloom.operators.xbrl import small_map
 
-    return _map(F.zip_with(declared, ends, lambda p, e: F.struct(p.alias("key"), F.element_at(known, e).alias("value"))))
+    return small_map(F.zip_with(declared, ends, lambda p, e: F.struct(p.alias("key"), F.element_at(known, e).alias("value"))))
 
 
 def canonical_concepts(facts: DataFrame, filings: DataFrame) -> DataFrame:
