@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,6 +73,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#document")
         self.open = [self.root]
+        self.paragraphs = 0  # open p elements
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._close_implied(tag)
@@ -79,16 +81,23 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.paragraphs += tag == "p"
+
+    def _close(self, at: int) -> None:
+        """Closes the open elements from ``at`` on."""
+        if self.paragraphs:
+            self.paragraphs -= sum(e.tag == "p" for e in self.open[at:])
+        del self.open[at:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if self.open[i].tag in ("table", "td", "th") and tag in INLINE | {"p", "div"}:
                 return  # a stray end tag doesn't leave its cell
@@ -98,10 +107,10 @@ class _Builder(HTMLParser):
             self.open[-1].children.append(data)
 
     def _close_implied(self, tag: str) -> None:
-        if tag in BLOCK and any(e.tag == "p" for e in self.open[-8:]):
+        if tag in BLOCK and self.paragraphs:
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag == "p":
-                    del self.open[i:]
+                    self._close(i)
                     break
                 if self.open[i].tag in BLOCK:
                     break
@@ -110,9 +119,9 @@ class _Builder(HTMLParser):
                 if self.open[i].tag in SHIELDS[tag]:
                     break
                 if self.open[i].tag in closes:
-                    del self.open[i:]
+                    self._close(i)
                     while self.open[-1].tag in closes:
-                        self.open.pop()
+                        self._close(len(self.open) - 1)
                     break
 
 
@@ -368,9 +377,9 @@ def nodes(docs: DataFrame, **columns: str) -> DataFrame:
 CELL = "table_id int, row int, col int, section string, is_header boolean, colspan int, rowspan int, text string, value double"
 
 
-def cell_rows(html: str) -> list[tuple]:
+def cell_rows(html: str, nested: bool = True) -> list[tuple]:
     out = []
-    for t, table in enumerate(tables(parse(html), nested=True)):
+    for t, table in enumerate(tables(parse(html), nested=nested)):
         for r, (section, cells) in enumerate(rows(table)):
             at = 0
             for cell in cells:
@@ -380,9 +389,9 @@ def cell_rows(html: str) -> list[tuple]:
     return out
 
 
-def cells(docs: DataFrame, **columns: str) -> DataFrame:
-    """Table cells as rows: ref and CELL."""
-    return per_document(docs, cell_rows, CELL, **columns)
+def cells(docs: DataFrame, *, nested: bool = True, **columns: str) -> DataFrame:
+    """Table cells as rows: ref and CELL; without ``nested``, of outermost tables only."""
+    return per_document(docs, partial(cell_rows, nested=nested), CELL, **columns)
 
 
 TABLE = "table_id int, type string, n_rows int, n_cols int, caption string, text string, grid array<array<string>>"
