@@ -230,20 +230,52 @@ def table_type(lines: list[list[str]], caption: str = "") -> str:
     return "GENERAL"
 
 
+MOST_COLUMNS, LEAST_TOTAL, LEAST_MEAN = 8, 5, 0.5
+"""A rendered table has so many columns at most, of those whose cells tell enough, in total or a row."""
+
+
+def telling(cell: str) -> int:
+    """How much a cell tells: 3 from three characters on, else one for each letter or digit, and for a dollar sign."""
+    bare = cell.strip()
+    return 3 if len(bare) >= 3 else len(bare) * (bare.isalnum() or bare == "$")
+
+
+def telling_columns(lines: list[list[str]]) -> list[int]:
+    """The columns that a rendered table shows: those that tell most, in their order."""
+    totals = {i: sum(telling(line[i]) for line in lines) for i in range(len(lines[0]) if lines else 0)}
+    enough = [i for i, total in totals.items() if total >= LEAST_TOTAL or total >= LEAST_MEAN * len(lines)]
+    return sorted(sorted(enough, key=lambda i: -totals[i])[:MOST_COLUMNS])
+
+
+def shown_columns(cells_: DataFrame) -> DataFrame:
+    """(ref, table_id, col, total) of the columns that rendering shows, from cell rows without spans."""
+    from pyspark.sql import Window
+
+    bare = F.trim("text")
+    worth = F.when(F.length(bare) >= 3, 3).when(bare.rlike("^[\\p{L}\\p{N}]{1,2}$"), F.length(bare)).when(bare == "$", 1).otherwise(0)
+    table = ["ref", "table_id"]
+    height = F.count_distinct("row").alias("height")
+    columns = cells_.groupBy(*table, "col").agg(F.sum(worth).cast("int").alias("total")).join(cells_.groupBy(*table).agg(height), table)
+    enough = columns.where((F.col("total") >= LEAST_TOTAL) | (F.col("total") >= LEAST_MEAN * F.col("height")))
+    place = F.row_number().over(Window.partitionBy(*table).orderBy(F.desc("total"), "col"))
+    return enough.withColumn("place", place).where(F.col("place") <= MOST_COLUMNS).select(*table, "col", "total")
+
+
 def render_table(lines: list[list[str]]) -> str:
-    """Aligned text: empty columns dropped, lone currency signs joined to their number, numbers to the right."""
+    """Aligned text: the columns that tell most, lone currency signs joined to their number, numbers to the right."""
     merged = []
+    width = max([len(line) for line in lines], default=0)
+    lines = [line + [""] * (width - len(line)) for line in lines]
     for line in lines:
         out = list(line)
-        for i in range(len(out) - 1):
-            if out[i].strip() in ("$", "€", "£") and out[i + 1].strip():
+        for i in range(len(out)):
+            if i + 1 < len(out) and out[i].strip() in ("$", "€", "£") and out[i + 1].strip():
                 out[i + 1], out[i] = out[i].strip() + out[i + 1].strip(), ""
             if i and out[i].strip() in (")", "%", ")%") and out[i - 1].strip():
                 out[i - 1], out[i] = out[i - 1].strip() + out[i].strip(), ""
         merged.append(out)
-    width = max([len(line) for line in merged], default=0)
-    kept = [i for i in range(width) if any(i < len(line) and line[i].strip() for line in merged)]
-    cells = [[line[i].strip() if i < len(line) else "" for i in kept] for line in merged]
+    kept = telling_columns(merged)
+    cells = [[line[i].strip() for i in kept] for line in merged]
     cells = [line for line in cells if any(line)]
     if not cells:
         return ""

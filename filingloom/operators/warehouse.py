@@ -1,13 +1,14 @@
 """The fact warehouse: idempotent appends and statement views.
 
-Tables are Parquet folders.  An append removes duplicates within the batch,
-anti-joins the keys that are stored already and writes the rest; only keys
-are read from the stored table, and Spark may skip files by their statistics.
+Tables are Parquet folders, dealt to buckets by filer.  An append removes
+duplicates within the batch, anti-joins the keys that are stored already and
+writes the rest; only keys of the buckets that the batch touches are read.
 The number of new rows is counted from what was written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,14 @@ def fact_rows(facts: DataFrame, source: str = "picker") -> DataFrame:
     return rows.select([c.split()[0] for c in WAREHOUSE_FACT.split(", ")])
 
 
+FILER_BUCKETS = 256
+"""Folders that a stored table is dealt to by filer."""
+
+
+def bucket_of(cik: Column) -> Column:
+    return F.pmod(F.xxhash64(cik), F.lit(FILER_BUCKETS)).cast("int")
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
     """Rows of a batch whose keys aren't stored; of equal keys the first in the given order."""
     one = first_of(batch, list(keys), list(order) or [F.monotonically_increasing_id()])
@@ -49,30 +58,61 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, path: str) -> object:
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def _exists(self, name: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self._fs.exists(self._path(f"{self.path}/{name}"))
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
-        if self._exists(name):
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], SCHEMAS[name])
+        return self._stored(name).drop("bucket") if self._exists(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, batch: DataFrame, order: Sequence[str | Column] = ()) -> int:
         """Add the rows that aren't there yet and return their number.
 
-        The new rows go to a folder of the batch first and join the table by
-        one more write, so that what is counted is what was added and a failed
-        batch leaves the table as it was.
+        The new rows are written to a folder of the batch beside the table first;
+        its files then move into the table one by one, a rename each.  So a batch
+        that fails while it is worked out leaves the table as it was.  Rows of
+        filers that the batch doesn't hold aren't read: stored tables lie by filer
+        bucket.
         """
         from pyspark.sql import Observation
 
-        fresh = new_rows(batch, self.table(name) if self._exists(name) else None, KEYS[name], order)
+        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        rows = batch.select(columns).withColumn("bucket", bucket_of(F.col("cik")))
+        stored = None
+        if self._exists(name):
+            buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # FILER_BUCKETS at most
+            stored = self._stored(name).where(F.col("bucket").isin(*buckets)) if buckets else self._stored(name).limit(0)
+        fresh = new_rows(rows, stored, KEYS[name], order)
         seen = Observation()
-        fresh.select([c.split()[0] for c in SCHEMAS[name].split(", ")]).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{self.path}/{name}")
+        staged = f"{self.path}/_staged-{name}-{uuid.uuid4().hex}"
+        try:
+            fresh.select(*columns, "bucket").observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("bucket").parquet(staged)
+            self._move(staged, f"{self.path}/{name}")
+        finally:
+            self._fs.delete(self._path(staged), True)
         return int(seen.get["rows"])
 
+    def _move(self, staged: str, table: str) -> None:
+        """Moves the files of a finished batch into the table."""
+        files = self._fs.listFiles(self._path(staged), True)
+        self._fs.mkdirs(self._path(table))
+        start = len(self._path(staged).toUri().getPath()) + 1
+        while files.hasNext():
+            file = files.next().getPath()
+            below = file.toUri().getPath()[start:]
+            if below.endswith(".parquet"):
+                target = self._path(f"{table}/{below}")
+                self._fs.mkdirs(target.getParent())
+                if not self._fs.rename(file, target):
+                    raise OSError(f"{below} can't be moved into {table}")
+
     def add_facts(self, facts: DataFrame, source: str = "picker") -> int:
         return self.append("facts", fact_rows(facts, source), ["fact_key", "context_ref", "unit_ref", "value"])
 

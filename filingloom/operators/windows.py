@@ -65,6 +65,13 @@ def ends_at_other_item(marks: DataFrame, *, by: str, order: str = "offset", item
     return joined.select("m.*", F.coalesce("s.next", F.col(f"m.{end}")).alias("stop"))
 
 
+def ends_at_level(marks: DataFrame, *, by: str, order: str = "offset", level: str = "level", end: str = "length", levels: int = 6) -> DataFrame:
+    """Each heading's end: the next heading of its level or a higher one (a smaller number), else the document's length."""
+    after = Window.partitionBy(by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    nearest = F.array(*[F.min(F.when(F.col(level) <= i, F.col(order))).over(after) for i in range(1, levels + 1)])
+    return marks.withColumn("stop", F.coalesce(F.get(nearest, F.col(level) - 1), F.col(end)))
+
+
 def page_runs(spans: DataFrame, *, by: list[str], order: str, number: str) -> DataFrame:
     """Numbers that belong to a run of at least two, each one more than the one before: page numbers."""
     window = Window.partitionBy(*by).orderBy(order)

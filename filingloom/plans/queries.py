@@ -683,8 +683,10 @@ def richer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from filingloom.plans import more_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: ORACLES[name] for name in queries() if name in ORACLES}

@@ -73,6 +73,15 @@ def pick_facts(picks: DataFrame) -> DataFrame:
     return first_of(out, ["accession", "concept", "context_ref", "unit_ref"], ["at"]).select(FACT_COLUMNS)
 
 
+def classified_facts(facts: DataFrame, statements: DataFrame) -> DataFrame:
+    """Picked facts with the statement that ``statements`` (ref, concept, statements) names first for their filing and concept; others stay as they are."""
+    first = statements.where(F.size("statements") > 0).groupBy(F.col("ref").alias("accession"), "concept").agg(F.min(F.col("statements")[0]).alias("_named"))
+    rows = facts.join(first, ["accession", "concept"], "left")
+    named = F.col("_named").isNotNull()
+    rows = rows.withColumns({"statement": F.coalesce("_named", "statement"), "statements": F.when(named, F.to_json(F.array("_named"))).otherwise(F.col("statements"))})
+    return rows.select(FACT_COLUMNS)
+
+
 def markdown_cell(col: Column) -> Column:
     return F.replace(F.regexp_replace(F.trim(col), "(?U)\\s+", " "), F.lit("|"), F.lit("\\|"))
 

@@ -112,7 +112,32 @@ def test_subsidiaries(spark):
     four = "<table><tr><td>Name of Subsidiary</td><td></td><td>% Owned</td><td>Jurisdiction</td></tr><tr><td>U.S. Subsidiaries:</td></tr><tr><td>Alpha LLC (1)</td><td></td><td>100%</td><td>Delaware</td></tr><tr><td>Beta Inc.*</td><td></td><td>51</td><td>Nevada</td></tr></table>"
     two = "<table><tr><td>Gamma GmbH</td><td>Germany</td></tr></table>"
     rows = exhibits.subsidiaries(docs(spark, four + two, None, "<p>none</p>"), html="content").collect()
-    assert [(r.name, r.jurisdiction, r.ownership) for r in rows] == [("Alpha LLC", "Delaware", 100.0), ("Beta Inc.", "Nevada", 51.0), ("Gamma GmbH", "Germany", None)]
+    assert sorted((r.name, r.jurisdiction, r.ownership) for r in rows) == [("Alpha LLC", "Delaware", 100.0), ("Beta Inc.", "Nevada", 51.0), ("Gamma GmbH", "Germany", None)]
+
+
+def test_subsidiaries_of_other_layouts(spark):
+    header = "<tr><th>Legal name</th><th>State or other jurisdiction</th></tr>"
+    tight = "<tr><td>U.S.Subsidiaries:</td><td></td></tr><tr><td>Delta, Inc. (1)(2)</td><td>Ohio</td></tr><tr><td>Epsilon 2001 LLC **</td><td>Texas</td></tr>"
+    nested = "<table><tr><td>Zeta SA</td><td>France<table><tr><td>not</td><td>this</td></tr></table></td></tr></table>"
+    middle = "<table><tr><td>Eta</td><td>75.5%</td><td></td><td>Peru</td></tr><tr><td>Theta</td><td></td><td></td><td>Chile</td></tr><tr><td>Iota</td><td>101%</td><td></td><td>Cuba</td></tr><tr><td>Kappa</td><td>.5</td><td></td><td>Iran</td></tr></table>"
+    third = "<table><tr><td>Lambda</td><td>held by Mu</td><td>Oman</td></tr></table>"
+    rows = exhibits.subsidiaries(docs(spark, f"<table>{header}{tight}</table>", nested, middle, third, "<table><tr><td>ALONE</td></tr></table>", ""), html="content").collect()
+    assert sorted((r.ref, r.name, r.jurisdiction, r.ownership) for r in rows) == [
+        ("d0", "Delta, Inc.", "Ohio", None), ("d0", "Epsilon 2001 LLC", "Texas", None), ("d1", "Zeta SA", "Francenotthis", None),
+        ("d2", "Eta", "Peru", 75.5), ("d2", "Iota", "Cuba", None), ("d2", "Kappa", "Iran", 0.5), ("d2", "Theta", "Chile", None), ("d3", "Lambda", "Oman", None),
+    ]
+
+
+def test_paragraphs_close_at_any_depth():
+    deep = "<p>one" + "<b>" * 30 + "two<div>three</div>"
+    assert [b[:2] for b in blocks(parse(deep))] == [("text", "onetwo"), ("text", "three")]
+
+
+def test_rendered_tables_show_what_tells():
+    lines = [["a" * i if i else "" for i in range(12)] for _ in range(3)]
+    assert html_tree.telling_columns(lines) == [3, 4, 5, 6, 7, 8, 9, 10]
+    assert html_tree.render_table([["Sales", "$", "5", ")"], ["Costs", "$", "(7", ")"]]) == "Sales   $5)\n-----  ----\nCosts  $(7)"
+    assert html_tree.render_table([]) == "" and html_tree.render_table([["", ""], ["-", ""]]) == ""
 
 
 def test_covers(spark):

@@ -20,17 +20,18 @@ def plain(rows):
     return sorted((tuple(value(x) for x in r) for r in rows), key=lambda r: tuple(str(x) for x in r))
 
 
-@pytest.fixture(scope="module")
-def database():
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def database(request):
     db = duckdb.connect()
     for t in TABLES:
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    return db
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{request.param}/{t}.parquet'")
+    return db, f"/root/testdata/{request.param}"
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_matches_sql(spark, database, name):
-    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    database, folder = database
+    found = queries.queries()[name](spark, folder)
     columns = sorted(found.columns)
     got = plain([tuple(r) for r in found.select(*[f"`{c}`" for c in columns]).collect()])
     sql = database.execute(queries.ORACLES[name])

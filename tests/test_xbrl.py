@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from filingloom.operators import classify, linkbase, standardize, warehouse, xbrl
@@ -52,6 +54,22 @@ def test_duplicate_context_ids_keep_the_last(spark):
     assert str(xbrl.facts(filing(spark, ("a", "xbrl", twice))).first().period_end) == "2021-12-31"
 
 
+def test_repeated_ids_cost_no_more(spark):
+    many = 10_000
+    instance = "".join(f'<context id="c{i}"><instant>2020-12-31</instant></context>' for i in range(many))
+    again = '<context id="c7"><instant>2021-12-31</instant></context>'
+    facts = "".join(f'<a:B{i} contextRef="c{i}" unitRef="U">{i}</a:B{i}>' for i in range(many))
+    unit = '<unit id="U"><measure>x:EUR</measure></unit>'
+    table = lambda text: filing(spark, ("a", "xbrl", unit + text + facts))
+    took = []
+    for text in (instance, instance, instance + again):
+        began = time.time()
+        rows = xbrl.facts(table(text)).groupBy("period_end").count().collect()
+        took.append(time.time() - began)
+    assert {str(r.period_end): r["count"] for r in rows} == {"2020-12-31": many - 1, "2021-12-31": 1}
+    assert took[2] < 3 * took[1] + 5
+
+
 def test_richer(spark):
     inline = xbrl.facts(filing(spark, ("a", "ixbrl", INLINE), ("b", "ixbrl", "<p/>")))
     instance = xbrl.facts(filing(spark, ("a", "xbrl", CLASSIC), ("b", "xbrl", CLASSIC)))
