@@ -3,13 +3,6 @@
 Each query runs over whole tables.  Many render a table as filings, read them
 back with the engine and return what was read; their SQL selects the table's
 own columns.
-
-``sections_roundtrip``, ``contents_roundtrip``, ``cross_reference_roundtrip``
-and ``named_section_roundtrip`` read nine cleaned paragraphs of a document, as
-their SQL does; the ``whole_`` queries beside them read every paragraph as it
-stands.  ``most_common_value``, ``frames_cross_section`` and
-``provenance_join`` leave out what their SQL leaves out; the ``whole_`` queries
-of these names keep groups with ties and all facts.
 """
 
 from __future__ import annotations
@@ -307,19 +300,10 @@ def item_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.ends_at_other_item(marks, by="l_orderkey", order="offset_").select("l_orderkey", "offset_", "item", "stop")
 
 
-@query("""SELECT l_orderkey, arg_max(q, n * 1000000 - first) AS quantity, CAST(max(n) AS BIGINT) AS n FROM (SELECT l_orderkey, l_returnflag AS q, count(*) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) t
-  GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT n * 1000 - first) = count(*)""")
-def most_common_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("quantity"), "l_linenumber")
-    counts = lines.groupBy("l_orderkey", "quantity").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("first"))
-    plain = counts.groupBy("l_orderkey").agg(F.count("*").alias("k"), F.countDistinct(F.col("n") * 1000 - F.col("first")).alias("d")).where("k > 1 and d = k").select("l_orderkey")
-    return windows.most_common(lines, by=["l_orderkey"], value="quantity", order="l_linenumber").join(plain, "l_orderkey")
-
-
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS place FROM lineitem),
 c AS (SELECT l_orderkey, l_returnflag AS quantity, CAST(count(*) AS BIGINT) AS n, min(place) AS first FROM o GROUP BY 1, 2)
 SELECT l_orderkey, quantity, n FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first) = 1""")
-def whole_most_common_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+def most_common_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("quantity"), F.row_number().over(order).alias("place"))
     return windows.most_common(lines, by=["l_orderkey"], value="quantity", order="place")
@@ -375,18 +359,9 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.substring("accession", 2, 20).cast("bigint").alias("place"), "cik", "entity", "accession", "document", F.round("score", 2).alias("score"))
 
 
-@query("""WITH f AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_totalprice, o_orderdate, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997 AND quarter(o_orderdate) = 3)
-SELECT cik, 'CY1997Q3I' AS frame, round(arg_max(o_totalprice, strftime(o_orderdate, '%Y-%m-%d') || '|' || lpad(accession, 12, ' ')), 2) AS value FROM f GROUP BY 1
-  HAVING count(DISTINCT CAST(o_orderdate AS DATE)) = count(*)""")
-def frames_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarter = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997 and quarter(o_orderdate) = 3")
-    plain = quarter.groupBy(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik")).agg(F.countDistinct(F.to_date("o_orderdate")).alias("d"), F.count("*").alias("k")).where("d = k").select("cik")
-    return whole_frames_cross_section(spark, sf_dir).join(plain, "cik")
-
-
 @query("""WITH f AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS filed, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997 AND quarter(o_orderdate) = 3)
 SELECT cik, 'CY1997Q3I' AS frame, round(o_totalprice, 2) AS value FROM f QUALIFY row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) = 1""")
-def whole_frames_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     value = F.struct(render.day(F.col("o_orderdate")).alias("end"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").cast("string").alias("accn"), render.day(F.col("o_orderdate")).alias("filed"))
     own = orders.groupBy("o_custkey", "o_orderpriority").agg(F.collect_list(value).alias("values"))
@@ -463,16 +438,6 @@ def subsidiaries_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsidiaries(render.subsidiary_exhibits(spark, sf_dir)).select("ref", "name", "jurisdiction", "ownership")
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_slice(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '[^A-Za-z ]', '', 'g'), '(?i)item|part|signature', '', 'g'), ' +', ' ', 'g'))), lambda p: length(p) > 0), 1, 9) AS ps FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS ref, 'Item ' || generate_subscripts(ps, 1) AS item, unnest(ps) AS body FROM w WHERE len(ps) > 0""")
-def sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filingloom.operators.sections import item_sections
-
-    found = item_sections(render.item_documents(spark, sf_dir).select("ref", F.col("html").alias("content")))
-    body = F.trim(F.regexp_replace(F.regexp_replace("text", "(?s)^\\s*Item \\d+\\. Heading", ""), "\\s+", " "))
-    return found.select("ref", "item", body.alias("body"))
-
-
 @query("""SELECT CAST(n_regionkey AS VARCHAR) AS ref, CAST(n_nationkey AS INTEGER) AS key, n_name AS name, CAST(n_nationkey * 1000 AS DOUBLE) AS value FROM nation""")
 def table_cells_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.html_tree import cells
@@ -484,44 +449,6 @@ def table_cells_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("ref", F.col("key").cast("int").alias("key"), "name", "value")
 
 
-PARAGRAPHS = r"""WITH w AS (SELECT doc_id, list_slice(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '[^A-Za-z ]', '', 'g'), '(?i)item|part|signature', '', 'g'), ' +', ' ', 'g'))), lambda p: length(p) > 0), 1, 9) AS ps FROM documents)
-"""
-
-
-@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, CAST(generate_subscripts(ps, 1) AS VARCHAR) AS item, 'Item ' || generate_subscripts(ps, 1) || '. Heading' AS title, unnest(ps) AS body FROM w WHERE len(ps) > 1""")
-def contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filingloom.operators.sections import contents_sections
-
-    docs = render.item_documents(spark, sf_dir).where(F.size("paragraphs") > 1)
-    number = lambda i: (i + 1).cast("string")
-    rows = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit('<tr><td><a href="#s'), number(i), F.lit('">Item '), number(i), F.lit('.</a></td><td><a href="#s'), number(i), F.lit('">Heading</a></td><td>9</td></tr>'))), "")
-    body = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit('<div id="s'), number(i), F.lit('"></div><p>'), p, F.lit("</p>"))), "\n")
-    found = contents_sections(docs.select("ref", text("<html><body><table>", rows, "</table>", body, "</body></html>").alias("content")))
-    return found.select("ref", "item", F.col("label").alias("title"), F.trim("text").alias("body"))
-
-
-@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, CAST(generate_subscripts(ps, 1) AS VARCHAR) AS item, unnest(ps) AS body FROM w WHERE len(ps) > 0""")
-def cross_reference_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filingloom.operators.sections import cross_reference_sections
-
-    docs = render.item_documents(spark, sf_dir)
-    number = lambda i: (i + 1).cast("string")
-    rows = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit("<tr><td>Item "), number(i), F.lit(".</td><td>Heading</td><td>"), number(i), F.lit("</td></tr>"))), "")
-    body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), p, F.lit('</p><hr style="page-break-after: always"/>'))), "")
-    found = cross_reference_sections(docs.select("ref", text(body, "<p>FORM 10-K CROSS-REFERENCE INDEX</p><table>", rows, "</table>").alias("content")))
-    return found.select("ref", "item", F.col("text").alias("body"))
-
-
-@query(PARAGRAPHS + """SELECT CAST(doc_id AS VARCHAR) AS ref, 'Chapter second part' AS name, 'Chapter second part ' || ps[2] AS text FROM w WHERE len(ps) > 1""")
-def named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filingloom.operators.sections import extract_sections
-
-    docs = render.item_documents(spark, sf_dir).where(F.size("paragraphs") > 1)
-    words = F.array(*[F.lit(w) for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")])
-    body = F.array_join(F.transform("paragraphs", lambda p, i: F.concat(F.lit("<h2>Chapter "), F.get(words, i), F.lit(" part</h2><p>"), p, F.lit("</p>"))), "")
-    return extract_sections(docs.select("ref", text("<html><body>", body, "</body></html>").alias("content")), ["Chapter second part"])
-
-
 WHOLE = r"""WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, ' +', ' ', 'g'))), lambda p: p <> '') AS l FROM documents),
 w AS (SELECT doc_id, CASE WHEN len(l) <= 9800 THEN l ELSE list_append(l[:9799], array_to_string(l[9800:], ' ')) END AS ps FROM lines),
 p AS (SELECT CAST(doc_id AS VARCHAR) AS ref, generate_subscripts(ps, 1) - 1 AS i, unnest(ps) AS body FROM w)
@@ -530,21 +457,21 @@ NUMBER = "(i // 100 + 1) || '.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0')"
 
 
 @query(WHOLE + f"SELECT ref, 'Item ' || {NUMBER} AS item, body FROM p")
-def whole_sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.sections import item_sections
 
     # "Text:" keeps a paragraph from being read as a label of its own
     paragraph = lambda p, i: F.concat(F.lit("<p>Item "), render.item_number(i), F.lit(". Heading</p><p>Text: "), p, F.lit("</p>"))
-    docs = render.whole_documents(spark, sf_dir)
+    docs = render.documents(spark, sf_dir)
     found = item_sections(docs.select("ref", text("<html><body>", F.array_join(F.transform("shown", paragraph), "\n"), "</body></html>").alias("content")), item_label=windows.DECIMAL_LABEL)
     return found.select("ref", "item", F.regexp_replace("text", "^Item [0-9.]+ Heading\\s+Text: ", "").alias("body"))
 
 
 @query(WHOLE + f"SELECT ref, {NUMBER} AS item, 'Item ' || {NUMBER} || '. Heading' AS title, body FROM p")
-def whole_contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.sections import contents_sections
 
-    docs = render.whole_documents(spark, sf_dir)
+    docs = render.documents(spark, sf_dir)
     row = lambda i, n: F.concat(F.lit('<tr><td><a href="#s'), i.cast("string"), F.lit('">Item '), n, F.lit('.</a></td><td><a href="#s'), i.cast("string"), F.lit('">Heading</a></td><td>9</td></tr>'))
     rows = F.array_join(F.transform("shown", lambda p, i: row(i, render.item_number(i))), "")
     body = F.array_join(F.transform("shown", lambda p, i: F.concat(F.lit('<div id="s'), i.cast("string"), F.lit('"></div><p>'), p, F.lit("</p>"))), "\n")
@@ -555,10 +482,10 @@ def whole_contents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(WHOLE + "SELECT ref, CAST(i + 1 AS VARCHAR) AS item, body FROM p")
-def whole_cross_reference_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cross_reference_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.sections import cross_reference_sections
 
-    docs = render.whole_documents(spark, sf_dir)
+    docs = render.documents(spark, sf_dir)
     number = lambda i: (i + 1).cast("string")
     rows = F.array_join(F.transform("shown", lambda p, i: F.concat(F.lit("<tr><td>Item "), number(i), F.lit(".</td><td>Heading</td><td>"), number(i), F.lit("</td></tr>"))), "")
     body = F.array_join(F.transform("shown", lambda p: F.concat(F.lit("<p>"), p, F.lit('</p><hr style="page-break-after: always"/>'))), "")
@@ -571,10 +498,10 @@ CHAPTERS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
 
 @query(WHOLE + f"""SELECT ref, 'Chapter ' || c || ' part' AS name, trim('Chapter ' || c || ' part ' || coalesce(string_agg(body, ' ' ORDER BY i), '')) AS text
   FROM (SELECT DISTINCT ref FROM p) r CROSS JOIN (SELECT unnest({list(CHAPTERS)}) AS c, generate_subscripts({list(CHAPTERS)}, 1) - 1 AS k) LEFT JOIN (SELECT ref AS own, least(i, {len(CHAPTERS) - 1}) AS chapter, i, body FROM p) ON own = ref AND chapter = k GROUP BY ref, c""")
-def whole_named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingloom.operators.sections import extract_sections
 
-    docs = render.whole_documents(spark, sf_dir).withColumn("shown", render.rest_in_last(F.col("shown"), len(CHAPTERS)))
+    docs = render.documents(spark, sf_dir).withColumn("shown", render.rest_in_last(F.col("shown"), len(CHAPTERS)))
     headings = [f"Chapter {c} part" for c in CHAPTERS]
     body = text(*[x for i, h in enumerate(headings) for x in (f"<h2>{h}</h2><p>", F.coalesce(F.get("shown", F.lit(i)), F.lit("")), "</p>")])
     return extract_sections(docs.select("ref", text("<html><body>", body, "</body></html>").alias("content")), headings)
@@ -634,13 +561,8 @@ def labels_over_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkbase.label_rows(books, nation.select("ref", F.lit("tpch:N").alias("concept"), text("standard ", F.col("ref")).alias("label")))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, count(*) AS facts, 1 AS documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY o_orderkey""")
-def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _provenance(spark, sf_dir, line_facts(spark, sf_dir).where(F.substring_index("context_ref", "-", 1).cast("int") <= 3))
-
-
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS accession, count(*) AS facts, 1 AS documents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def whole_provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _provenance(spark, sf_dir, line_facts(spark, sf_dir))
 
 

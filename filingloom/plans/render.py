@@ -136,20 +136,11 @@ def subsidiary_exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.select(F.col("n_nationkey").cast("string").alias("ref"), html.alias("html"))
 
 
-def item_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An HTML filing per document: a contents table, then its paragraphs, each under an "Item N" heading."""
-    docs = table(spark, sf_dir, "documents")
-    words = F.transform(F.filter(F.split("text", "\n"), lambda p: F.trim(p) != ""), lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[^A-Za-z ]", ""), "(?i)item|part|signature", ""), " +", " ")))
-    paragraphs = F.slice(F.filter(words, lambda p: F.length(p) > 0), 1, 9)
-    body = F.array_join(F.transform(paragraphs, lambda p, i: F.concat(F.lit("<p>Item "), (i + 1).cast("string"), F.lit(". Heading</p><p>"), p, F.lit("</p>"))), "\n")
-    return docs.where(F.size(paragraphs) > 0).select(F.col("doc_id").cast("string").alias("ref"), text("<html><body>", body, "</body></html>").alias("html"), paragraphs.alias("paragraphs"))
-
-
 #: Items "1.00" to "98.99"; the paragraphs from the last one on stand under it together.
 ITEMS = 9_800
 
 
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref, paragraphs, shown): every line of a document that isn't blank, spaces collapsed and nothing else changed, and the same as HTML text."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda p: F.trim(F.regexp_replace(p, " +", " "))), lambda p: p != "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ref"), rest_in_last(lines, ITEMS).alias("paragraphs"))

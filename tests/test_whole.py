@@ -13,13 +13,13 @@ def test_every_paragraph_of_long_documents(spark, tmp_path):
     flat = sorted((k, p) for k, ps in own.items() for p in ps)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("whole_sections_roundtrip", "whole_contents_roundtrip", "whole_cross_reference_roundtrip"):
+    for name in ("sections_roundtrip", "contents_roundtrip", "cross_reference_roundtrip"):
         got = queries.QUERIES[name](spark, str(tmp_path))
         assert sorted((r.ref, r.body) for r in got.collect()) == flat, name
         assert sorted(tuple(r) for r in got.collect()) == sorted(db.execute(queries.ORACLES[name]).fetchall()), name
-    named = queries.QUERIES["whole_named_section_roundtrip"](spark, str(tmp_path)).collect()
+    named = queries.QUERIES["named_section_roundtrip"](spark, str(tmp_path)).collect()
     assert {r.text for r in named if r.ref == "1" and r.name == "Chapter ninth part"} == {" ".join(["Chapter ninth part", *own["1"][8:]])}
-    assert sorted(tuple(r) for r in named) == sorted(db.execute(queries.ORACLES["whole_named_section_roundtrip"]).fetchall()) and len(named) == 27
+    assert sorted(tuple(r) for r in named) == sorted(db.execute(queries.ORACLES["named_section_roundtrip"]).fetchall()) and len(named) == 27
 
 
 def test_ties_and_all_facts(spark, tmp_path):
@@ -32,9 +32,9 @@ def test_ties_and_all_facts(spark, tmp_path):
     for t in ("lineitem", "orders"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = {
-        "whole_provenance_join": {("1", 7, 1), ("2", 2, 1), ("3", 2, 1), ("4", 1, 1)},
-        "whole_most_common_value": {(1, "N", 3), (2, "A", 1), (3, "R", 1), (4, "A", 1)},
-        "whole_frames_cross_section": {("0000000001", "CY1997Q3I", 1.0), ("0000000003", "CY1997Q3I", 3.0), ("0000000004", "CY1997Q3I", 4.0), ("0000000007", "CY1997Q3I", 9.0)},
+        "provenance_join": {("1", 7, 1), ("2", 2, 1), ("3", 2, 1), ("4", 1, 1)},
+        "most_common_value": {(1, "N", 3), (2, "A", 1), (3, "R", 1), (4, "A", 1)},
+        "frames_cross_section": {("0000000001", "CY1997Q3I", 1.0), ("0000000003", "CY1997Q3I", 3.0), ("0000000004", "CY1997Q3I", 4.0), ("0000000007", "CY1997Q3I", 9.0)},
     }
     for name, rows in want.items():
         got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
