@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,14 @@ def without_page_furniture(root: Element) -> Element:
     return root
 
 
+Blocks = list[tuple[str, str, bool]]
+
+
 def chunk_rows(html: str) -> list[tuple[int, str, bool]]:
+    return chunks_of(blocks(without_page_furniture(parse(html))))
+
+
+def chunks_of(found: Blocks) -> list[tuple[int, str, bool]]:
     """Runs of blocks: a table or list stands alone, an item or part begins a new run, long text ends one."""
     out: list[tuple[int, str, bool]] = []
     held: list[str] = []
@@ -65,7 +73,7 @@ def chunk_rows(html: str) -> list[tuple[int, str, bool]]:
             out.append((len(out), "\n".join(held), False))
             held.clear()
 
-    for kind, text, _ in blocks(without_page_furniture(parse(html))):
+    for kind, text, _ in found:
         if kind in ("table", "list"):
             flush()
             out.append((len(out), text, kind == "table"))
@@ -157,8 +165,11 @@ def contents(root: Element) -> list[tuple[str, str, str | None, str | None]]:
 
 
 def mark_rows(html: str) -> list[tuple]:
+    return marks_of(parse(html))
+
+
+def marks_of(root: Element) -> list[tuple]:
     """Sections that a linked table of contents points at, each to the next one's start."""
-    root = parse(html)
     linear, text = _linear(root)
     targets = {}
     for e, at in linear:
@@ -183,8 +194,14 @@ def contents_sections(docs: DataFrame, **columns: str) -> DataFrame:
     return per_document(docs, mark_rows, MARK, **columns)
 
 
-def pattern_rows(form: str):
+def pattern_rows(form: str) -> Callable[[str], list[tuple]]:
     """Function from a document to its sections by headings that follow a form's catalogue."""
+    by_headings = patterns_of(form)
+    return lambda html: by_headings(blocks(without_page_furniture(parse(html))))
+
+
+def patterns_of(form: str) -> Callable[[Blocks], list[tuple]]:
+    """The same from a document's blocks."""
     catalogue = [(p, n, t) for p, own in forms.FORMS.get(form, {}).items() for n, t in own.items()]
     prospectus = form.startswith("424B")
 
@@ -207,11 +224,11 @@ def pattern_rows(form: str):
                     return n, p or part
         return None
 
-    def rows(html: str) -> list[tuple]:
+    def rows(shown: Blocks) -> list[tuple]:
         found: list[list] = []
         part: str | None = None
         own: list[str] = []
-        for kind, text, bold in blocks(without_page_furniture(parse(html))):
+        for kind, text, bold in shown:
             if kind == "text" and len(text) < 200 and (m := PART.match(text)):
                 part = m[1].upper()
             head = header_of(text, bold or kind == "heading", part) if kind in ("text", "heading") and len(text) < 500 else None
@@ -239,22 +256,53 @@ def pattern_sections(docs: DataFrame, form: str = "10-K", **columns: str) -> Dat
     return per_document(docs, pattern_rows(form), MARK, **columns)
 
 
+SHORT = 200
+"""A section of fewer characters that the contents point at is looked for again among the headings."""
+WAY = "place int, label string, given_item string, given_part string, text string, method string, confidence double"
+
+
+def way_rows(form: str) -> Callable[[str], list[tuple]]:
+    """Function from a document to rows of the best way that finds its sections: linked contents, headings, or chunks whose labels are carried down later."""
+    by_headings = patterns_of(form)
+
+    def rows(html: str) -> list[tuple]:
+        root = parse(html)
+        marks = marks_of(root)
+        if marks and all(m[5] >= SHORT for m in marks):
+            return [(at, label, item, part, text, method, sure) for at, label, item, part, _, _, text, method, sure in marks]
+        shown = blocks(without_page_furniture(root))
+        headed = [(at, label, item, part, text, method, sure) for at, label, item, part, _, _, text, method, sure in by_headings(shown)]
+        if not marks:
+            return headed or [(at, None, None, None, text, "chunks", 0.6) for at, text, _ in chunks_of(shown)]
+        out = []
+        for at, label, item, part, _, size, text, method, sure in marks:
+            # the section's own heading is known, so what headings find for it counts as surely as the contents
+            longer = max((h for h in headed if h[2] == item and (part is None or h[3] in (None, part))), key=lambda h: len(h[4]), default=None) if size < SHORT else None
+            if longer and len(longer[4]) > size:
+                text, method = longer[4], longer[5]
+            out.append((at, label, item, part, text, method, sure))
+        return out
+
+    return rows
+
+
 def sections(docs: DataFrame, form: str = "10-K", *, least: float = 0.6, **columns: str) -> DataFrame:
     """(ref, item, part, place, title, text, method, confidence): the best sections of each document.
 
     A linked table of contents is preferred, then headings, then carried-down
-    item labels; each way is asked only about documents that the better ones
-    found nothing in, and sections below the confidence ``least`` are dropped.
+    item labels, all tried in one reading of the document; sections below the
+    confidence ``least`` are dropped.  Only the sections' text is exchanged, once,
+    by document.
     """
-    columns = {"ref": "ref", "content": "content"} | columns
-    rest = docs.select(F.col(columns["ref"]).cast("string").alias("ref"), F.col(columns["content"]).alias("content"))
-    first = contents_sections(rest)
-    left = rest.join(first.select("ref").distinct(), "ref", "left_anti")
-    second = pattern_sections(left, form)
-    third = item_sections(left.join(second.select("ref").distinct(), "ref", "left_anti"))
-    marks = first.unionByName(second).select("ref", "item", "part", "place", F.left("label", F.lit(100)).alias("title"), "text", "method", "confidence")
-    carried = third.select("ref", F.upper(F.regexp_replace("item", "(?i)^item\\s+", "")).alias("item"), F.lit(None).cast("string").alias("part"), "place", "title", "text", F.lit("chunks").alias("method"), F.lit(0.6).alias("confidence"))
-    return best_sections(marks.unionByName(carried)).where(F.col("confidence") >= least)
+    rows = windows.chunk_labels(per_document(docs, way_rows(form), WAY, **columns), order="place")
+    carried = F.col("method") == "chunks"
+    item = F.when(carried, F.upper(F.regexp_replace("item", "(?i)^item\\s+", ""))).otherwise(F.col("given_item"))
+    rows = rows.where(~carried | ((F.col("item") != "") & ~F.col("toc") & (F.trim("text") != "")))
+    rows = rows.select("ref", item.alias("item"), "place", "text", "label", "method", "confidence", F.when(~carried, F.col("given_part")).alias("part"), F.when(~carried, F.col("place")).alias("own"))
+    # chunks of an item are one section; the others are one already
+    whole = rows.groupBy("ref", "item", "part", "method", "confidence", "own").agg(F.min("place").alias("place"), F.max("label").alias("label"), F.array_join(F.array_sort(F.collect_list(F.struct("place", "text")))["text"], "\n").alias("text"))
+    named = whole.withColumn("title", F.coalesce(F.left("label", F.lit(100)), section_title(F.col("text"))))
+    return best_sections(named).where(F.col("confidence") >= least)
 
 
 def best_sections(rows: DataFrame) -> DataFrame:

@@ -93,6 +93,28 @@ def test_patterns_and_views(spark):
     assert sorted((r.part, r.item) for r in sections.pattern_sections(quarter, "10-Q").collect()) == [("I", "1"), ("II", "1")]
 
 
+def test_sections_read_a_document_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = sections.sections(docs(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert not any("content" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_each_document_goes_its_own_way(spark):
+    carried = "<p>Item 3. Legal things</p><p>None.</p><p>more</p><p>Item 4. Mine</p><p>deep</p>"
+    long = "word " * 60
+    short = f'<a href="#a">Item 1. Business</a><a href="#b">Item 7. Talk</a><div id="a"></div><div id="b"></div><p>Item 7. Talk</p><p>{long}</p><p><b>Item 1. Business</b></p><p>found behind {long}</p>'
+    got = {}
+    for r in sections.sections(docs(spark, CHUNKED.format(toc="Contents"), LINKED, carried.replace("Item 3", "Item 33").replace("Item 4", "Item 44"), short, "<p>none</p>", None)).collect():
+        got.setdefault(r.ref, {})[r.item] = (r.method, r.text)
+    assert set(got) == {"d0", "d1", "d2", "d3"}
+    assert {m for m, _ in got["d0"].values()} == {"pattern"} and {m for m, _ in got["d2"].values()} == {"chunks"}
+    assert got["d2"]["33"][1].endswith("None.\nmore")
+    # the contents point at nothing for item 1: its heading further down is looked for
+    assert got["d3"]["1"][0] == "pattern" and "found behind" in got["d3"]["1"][1] and got["d3"]["7"][0] == "toc"
+
+
 def test_cross_reference_index(spark):
     page = """<p>front</p><hr style="page-break-after: always"/><p>page two</p><div style="page-break-after:always"></div><p>page three</p><hr style="page-break-after:always">
 <p>FORM 10-K CROSS-REFERENCE INDEX</p><table><tr><td>Part I</td></tr><tr><td>Item 1.</td><td>Business</td><td>2</td></tr><tr><td>1A.</td><td>Risk Factors</td><td>2&#8211;3</td></tr><tr><td>4, (a)</td></tr></table>"""
