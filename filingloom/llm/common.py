@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from filingloom.storage import shared_dir
+
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -37,19 +39,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-    fallback = f"file:///tmp/checkpoints/filingloom-{context.applicationId}"
-    context.setCheckpointDir(fallback)
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 

@@ -127,13 +127,27 @@ def test_archive_keeps_payloads_once_and_rebuilds_records(spark):
     records, payloads = warc.write(pages(spark, rows), Scratch(spark, "warc"), minimum=3)
     assert payloads.count() == 2
     full = {r.page_id: bytes(r.record) for r in warc.originals(records, payloads).collect()}
-    assert full[1].endswith(b"\r\n\r\nbody\r\n\r\n") and full[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: http://aX: y\r\n")
+    assert full[1].endswith(b"\r\n\r\nbody\r\n\r\n") and full[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: http://a%0D%0AX: y\r\n")
     assert b"WARC-Refers-To: <urn:page:1>\r\nContent-Length: 0\r\n\r\n\r\n\r\n" in full[2]
+    assert {r.page_id: r.u for r in records.select("page_id", warc.target().alias("u")).collect()} == {i: u for i, u, _ in rows}
+    plan = warc.rebuilt(records, payloads)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan  # of the headers
     spoiled = payloads.selectExpr("address", "cast('other' as binary) payload")
     with pytest.raises(Exception, match="doesn't match its address"):
         warc.read(records, spoiled).collect()
 
 
+def test_archive_of_other_ids_and_long_payloads(spark):
+    long = "ü" * 3_000_000
+    rows = [("a>b c", "u", long), ("z/ü", "u", long), ("m", None, ""), ("n\nx", "v", None)]
+    table = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.archive(table).collect()}
+    assert got["z/ü"].refers_to == "a>b c" and got["a>b c"].refers_to is None and got["z/ü"].payload_bytes == 6_000_000
+    assert got["n\nx"].refers_to == "m" and got["m"].record_type == "response"
+    dated = warc.write(table.withColumn("at", F.lit("2024-02-03T04:05:06Z")), Scratch(spark, "warc"), date=F.col("at"))[0]
+    assert {r.d for r in dated.select(warc.field("WARC-Date").alias("d")).collect()} == {"2024-02-03T04:05:06Z"}
+
+
 def split(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
