@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -19,7 +21,7 @@ def library():
 @pytest.fixture(scope="module")
 def small():
     """Tiny leaves, so that short texts go through every join."""
-    return TreeBPE(PATH, leaf_chars=24, word_bytes=16, window=8)
+    return TreeBPE(PATH, leaf_chars=24, word_bytes=16, window=8, segment_chars=6)
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +59,7 @@ def test_long_unbroken_words(library, seed):
     rng = random.Random(seed)
     letters = "ab" if seed % 2 else "thetionandé"
     text = "".join(rng.choice(letters) for _ in range(30_000)) + " end " + "=" * 5_000 + " " * 9_000 + "x" + "a" * 40_000
-    assert TreeBPE(PATH, leaf_chars=1000, word_bytes=64, window=16).encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert TreeBPE(PATH, leaf_chars=1000, word_bytes=64, window=16, segment_chars=100).encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_special_tokens(library, small):
@@ -73,5 +75,30 @@ def test_documents(spark, library):
     for i, t in enumerate(texts):
         assert got[(i, t or "")] == library.encode(t or "", add_special_tokens=False).ids
     digests = digest_documents(docs, PATH).collect()
-    assert len(digests) == len(rows)
+    assert Counter(map(tuple, digests)) == Counter(told(library, i, t) for i, t, _ in rows)
     assert digest_documents(docs.limit(0), PATH).count() == 0
+
+
+def told(library, doc_id, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    decoded = library.decode(ids, skip_special_tokens=False)
+    return doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_digests_of_a_whole_table(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = Counter(told(library, r.doc_id, r.text) for r in docs.collect())
+    assert Counter(map(tuple, digest_documents(docs, PATH).collect())) == want
+    # cut to pieces of 700 characters, most texts are joined over rows
+    assert Counter(map(tuple, digest_documents(docs, PATH, piece_chars=700).collect())) == want
+
+
+def test_long_texts_over_rows(spark, library):
+    rng = random.Random(2)
+    words = ["the", " of", "\n\n", "  ", "x" * 3000, "é中", "=" * 900, " " * 1500, "'s", "12", "<|endoftext|>", "aa" * 2000]
+    texts = ["".join(rng.choice(words[: rng.choice([5, 10, 12])]) for _ in range(60)) for _ in range(40)]
+    texts += ["\n\n" + "a" * 9000, "b" * 20_000, " " * 5000 + "c" * 5000 + "\n" * 4000, "d\n\n" * 3000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[0])] + [(100 + i, texts[-1]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' key", "'p' pieces")
+    for size in (97, 1000, 4096):
+        assert Counter(map(tuple, digest_documents(docs, PATH, piece_chars=size).collect())) == Counter(told(library, i, t) for i, t in rows)
