@@ -13,8 +13,9 @@ each label, the first by a hash of their id.  Scoring reads whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 a null label isn't learned from; without any labelled text every prediction is
-``und``; with one label every text with a letter gets it; repeated rows get
-equal answers; extra input columns are ignored.
+``und``; with one label every text with a letter gets it; of labels with equal
+scores the first by name is taken; a very long text is read block by block;
+repeated rows get equal answers; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ from filingloom.llm.common import slices
 UNDETERMINED = "und"
 PER_CLASS = 200
 """Texts drawn for each label: the bound of the fit."""
-LANDMARKS_PER_CLASS = 32
+LANDMARKS_PER_CLASS, LANDMARKS = 32, 512
+"""Landmarks of a label at most, and of all labels: a worker holds a dense matrix of landmarks by their n-grams, 4 bytes each."""
 SAMPLE_CHARS = 20_000
 """Texts up to this length are drawn first, so that the sample stays small."""
-MAX_CLASSES = 500
+MAX_CLASSES = 256
 RIDGE = 1e-2
 BLOCK_CHARS = 1 << 18
 BATCH = 64
@@ -127,6 +129,7 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks_per_class: int = LANDMAR
     if not sample:
         return None
     labels = sorted({label for label, _ in sample})
+    landmarks_per_class = max(1, min(landmarks_per_class, LANDMARKS // len(labels)))
     marks: list[np.ndarray] = []
     for label in labels:
         marks += [g for lab, g in sample if lab == label][:landmarks_per_class]

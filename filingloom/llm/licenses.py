@@ -11,8 +11,10 @@ stretch of lines around it that could hold the longest template; the rest of
 the text plays no part, so memory follows the templates, not the document.
 
 Defined cases: null and empty texts, and texts without a confirmed notice, give
-no row; the same notice at several places gives a row for each; repeated rows
-give repeated results; extra input columns are ignored.
+no row; the same notice at several places gives a row for each; templates with
+equal gain keep the list's order, and where notices overlap the longest, then the
+first, then the one with fewer differences, then the first by name stays; repeated
+rows give repeated results; extra input columns are ignored.
 """
 
 from __future__ import annotations

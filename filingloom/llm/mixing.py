@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import WORD_PATTERN
+from filingloom.llm.common import WORD_PATTERN, Scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -57,7 +57,7 @@ def size_of(text: Column) -> Column:
 
 
 def shuffled(key: Column) -> Column:
-    """60 bits of a digest of an id: the shuffled order, whose top 10 bits are the bucket."""
+    """60 bits of a digest of an id: the shuffled order, whose top bits are the bucket."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
@@ -79,9 +79,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.select("source", "n", "weight", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def lines(rows: DataFrame) -> DataFrame:
+BUCKET_ROWS = 100_000
+
+
+def bucket_bits(count: int) -> int:
+    """Bits of the order that tell buckets apart: at least 10, and so many that a source of all ``count`` rows has few in each."""
+    return min(24, max(10, (count // BUCKET_ROWS).bit_length()))
+
+
+def lines(rows: DataFrame, bits: int = 10) -> DataFrame:
     """Adds ``start``: each document's first place on its source's line.  Needs n, order, size."""
-    rows = rows.withColumn("bucket", F.shiftright("order", 50))
+    rows = rows.withColumn("bucket", F.shiftright("order", 60 - bits))
     sums = rows.groupBy("n", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("n", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
@@ -121,6 +129,7 @@ class Mix:
         kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
         rows = docs.select(*kept, F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), shuffled(F.col(id_col)).alias("order"))
         self.rows = write(rows, "sizes")
+        self.bits = bucket_bits(Scratch.rows(self.rows))
         totals = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = write(targets(totals, weights, most), "targets")
         self.block = block
@@ -138,7 +147,7 @@ class Mix:
     def placed(self) -> DataFrame:
         """Documents with words, laid on their source's line: ``n, order, start, size`` and the kept columns."""
         named = self.rows.alias("r").join(self.targets.select("source", "n", "source_size", "target").alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
-        return lines(named).where("size > 0")
+        return lines(named, self.bits).where("size > 0")
 
     def block_at(self, place: Column) -> Column:
         """The block that holds a place of a line; settled sources have two, up to their last pass's end and from there."""

@@ -8,8 +8,10 @@ all held at once.
 
 Defined cases: null or empty content gives one row with ``error`` set; a
 directory that points back to an earlier one ends the walk with an error row; a
-damaged page gives its own error row and the walk goes on; repeated rows give
-repeated pages; extra input columns are ignored.
+damaged page gives its own error row and the walk goes on, and so does one that
+declares more than its strips or tiles could hold by their compression, or than
+the 2 GB of a row; repeated rows give repeated pages; extra input columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ ROW = 64
 PAGE_ROWS = 16_384
 """Rows of a page of a stored text; longer ones take more pages."""
 STRIP_ROWS = 1_024
-MAX_PAGE_BYTES = 1 << 30
-"""A page that declares more is reported as damaged instead of being allocated."""
+ROW_BYTES = 1 << 31
+"""A row's binary value ends here, and so does a page that is one."""
+#: How many bytes a stored byte can stand for at most, by the formats' own limits: runs of 128, matches of 258 in two bits, strings of 4,096.
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
 
 
 class Damaged(ValueError):
@@ -275,8 +279,8 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]], page: Page) -> No
     planes = page.samples if one(PLANAR, 1) == 2 else 1
     per = page.samples // planes
     line = lambda width: (width * per * page.bits + 7) // 8
-    if line(page.width) * planes * page.height > MAX_PAGE_BYTES:
-        raise Damaged("page too large")
+    if line(page.width) * planes * page.height >= ROW_BYTES:
+        raise Damaged("page beyond the 2 GB of a row")
     if page.layout == "tiles":
         across, down = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)
         places, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
@@ -289,6 +293,8 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]], page: Page) -> No
     rows = -(-page.height // down) if down else 0
     if len(places) < columns * rows * planes or len(counts) < len(places):
         raise Damaged("too few strips or tiles")
+    if line(page.width) * planes * page.height > EXPANSION.get(compression, 1) * sum(counts[: columns * rows * planes]):
+        raise Damaged("strips or tiles too short for the page")
     if columns > 1 and (across * per * page.bits) % 8:
         raise Damaged("tiles off byte bounds")
     out = np.zeros((planes, page.height, line(page.width)), np.uint8)

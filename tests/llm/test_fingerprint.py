@@ -28,6 +28,45 @@ def test_blocks_do_not_matter(monkeypatch):
     assert np.array_equal(fp.fingerprint(text), whole)
 
 
+def slow_likeness(a, b):
+    """Cosine of signed counts of windows, window by window, from the definition."""
+    if sorted(fp.paragraphs(a)) == sorted(fp.paragraphs(b)):
+        return 1.0
+
+    def lanes(text):
+        out = [0] * fp.LIKE
+        for p in fp.paragraphs(text):
+            p = p.ljust(fp.WINDOW, b"\0")
+            for i in range(len(p) - fp.WINDOW + 1):
+                x, y = int.from_bytes(p[i : i + 8], "little"), int.from_bytes(p[i + 8 : i + 16], "little")
+                m = (x * int(fp.MIX[0])) % 2**64 ^ (y * int(fp.MIX[1])) % 2**64
+                m ^= m >> 29
+                m = m * int(fp.MIX[2]) % 2**64 >> 55
+                out[m % fp.LIKE] += 1 if m >= fp.LIKE else -1
+        return out
+
+    x, y = lanes(a), lanes(b)
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return min(max(sum(v * w for v, w in zip(x, y)) / norm, 0.0), 0.999999) if norm else 0.0
+
+
+def test_likeness_from_its_definition(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(rng.choice(["alpha", "beta", "é", "x", "gamma"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(8))) for _ in range(40)] + ["", None, "abc", "a line\n" * 3]
+    rows = {r.doc_id: r for r in fp.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        assert abs(rows[i].near_edited - slow_likeness(t, fp.edited(t, after))) < 1e-9 and abs(rows[i].near_next - slow_likeness(t, after)) < 1e-9
+
+
+def test_likeness_of_very_long_texts():
+    for length in (10**4, 10**5, 10**6, 10**7):
+        for period in ("z", "sixteen letters ", "a line of text that repeats\n"):
+            text = period * (length // len(period))
+            changed = fp.edited(text, "something quite different, over and over again. " * (length // 48))
+            assert fp.likeness(fp.fingerprint(text), fp.fingerprint(changed)) > 0.7, (length, period)
+
+
 def brute(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []

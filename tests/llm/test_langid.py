@@ -49,3 +49,12 @@ def test_edges(spark):
     assert langid.identify(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", docs.lang.substr(99, 1)).replace("", None, "lang")
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_ties_and_many_labels():
+    same = [(label, langid.grams(text)) for label in ("b", "a") for text in ("one two three", "four five six")]
+    identifier = langid.LanguageIdentifier(langid.fit(same))
+    assert {identifier.predict_texts([t])[0][0] for t in ("one two", "six", "seven")} == {"a"}
+    many = [(f"l{i:03d}", langid.grams(f"word{chr(0x4E00 + i)} {chr(0x4E00 + i)}{j}")) for i in range(200) for j in "xyz"]
+    model = langid.fit(many)
+    assert len(model.landmarks) <= langid.LANDMARKS

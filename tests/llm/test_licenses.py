@@ -1,6 +1,8 @@
 import random
 import re
 
+import zstandard
+
 from filingloom.llm import licenses
 
 
@@ -64,3 +66,66 @@ def test_changed_copies_beside_exact_ones():
                 for c in kinds:
                     got = licenses.find("\n".join(["some words before", a, "third party", b, "more of it", c, "the end"]))
                     assert [f[0] for f in got] == [name] * 3, (name, kinds.index(a), kinds.index(b), kinds.index(c))
+
+
+def plain_words(text):
+    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+(?:[.'+-][A-Za-z0-9]+)*", text)]
+
+
+def test_short_notices_against_every_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    short = [(n, [w for w, _, _ in plain_words(t)]) for n, t in licenses.TEMPLATES if len(t.split()) <= licenses.SHORT]
+    want = set()
+    for r in docs.collect():
+        words = plain_words(r.text or "")
+        own = [w for w, _, _ in words]
+        hits = sorted((-len(t), words[i][1], words[i + len(t) - 1][2], n) for n, t in short for i in range(len(own) - len(t) + 1) if own[i : i + len(t)] == t)
+        taken = []
+        for _, a, b, n in hits:
+            if not any(a < y and x < b for x, y in taken):
+                taken.append((a, b))
+                want.add((r.doc_id, n, a, b, 0, 0))
+    got = {(r.doc_id, r.license, r.start, r.end, r.missing, r.added) for r in licenses.scan(docs).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_gain_and_differences_of_changed_texts():
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    rng = random.Random(7)
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) <= 40:
+            continue
+        for changes in (0, 1, 2, 3):
+            own = words[:]
+            places = [k for k in range(5, len(words) - 5, 4) if re.fullmatch("[A-Za-z]+", words[k])]
+            for k in rng.sample(places, changes):
+                own[k] = f"other{k}"
+            body = " ".join(own)
+            if 2 * changes > licenses.TOLERANCE * len(plain_words(text)):
+                assert licenses.find(body) == []
+                continue
+            ((got, start, end, gain, missing, added),) = licenses.find(body)
+            assert (got, start, end) == (name, plain_words(body)[0][1], plain_words(body)[-1][2])
+            assert missing == added == changes
+            data, dictionary = body.lower().encode(), zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            helped = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False)
+            alone = len(plain.compress(data))
+            size = min(alone, len(plain.compress(text.lower().encode())))
+            assert gain == round((alone - len(helped.compress(data))) / size, 4) and gain > 0.5
+
+
+def test_equal_gains_and_repeated_rows(spark):
+    text = "Released under the MIT License. Released under the MIT License."
+    found = licenses.find(text)
+    assert [f[:3] for f in found] == [("MIT", 0, 30), ("MIT", 32, 62)]
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert licenses.scan(docs).count() == 4
+
+
+def test_notices_in_sequence():
+    long = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) > licenses.SHORT]
+    assert [f[0] for f in licenses.find("\n".join(t for _, t in long))] == [n for n, _ in long]
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) <= licenses.SHORT]
+    for between in (" ", "\n"):
+        assert [f[0] for f in licenses.find(between.join(f"{t}." for _, t in short))] == [n for n, _ in short]

@@ -44,6 +44,39 @@ def test_packbits_of_the_specification():
     assert tiff.packbits_decode(packed, len(plain)) == plain
 
 
+def fields(order, entries):
+    out = struct.pack(f"{order}H", len(entries))
+    for tag, kind, value in entries:
+        out += struct.pack(f"{order}HHI", tag, kind, 1) + (struct.pack(f"{order}I", value) if kind == 4 else struct.pack(f"{order}HH", value, 0))
+    return out + b"\0\0\0\0"
+
+
+def lzw_codes(codes):
+    """Codes as the format packs them: nine bits each, the highest first."""
+    bits = "".join(f"{c:09b}" for c in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_lzw_of_the_specification(order):
+    # The format's worked example of a string and its codes.
+    plain = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    body = lzw_codes([256, 7, 258, 8, 8, 258, 6, 6, 257])
+    assert tiff.lzw_decode(body, 9) == plain
+    file = struct.pack(f"{order}2sHI", {"<": b"II", ">": b"MM"}[order], 42, 8 + len(body)) + body
+    file += fields(order, [(256, 4, 3), (257, 4, 3), (258, 3, 8), (259, 3, 5), (322, 4, 3), (323, 4, 3), (324, 4, 8), (325, 4, len(body))])
+    (page,) = tiff.pages(file)
+    assert (page.error, page.layout, page.data) == (None, "tiles", plain)
+
+
+def test_pages_that_declare_too_much():
+    body = zlib.compress(b"x" * 100)
+    for height, want in ((10, None), (1_000_000, "too short"), (2**31, "2 GB")):
+        file = struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + fields("<", [(256, 4, 10), (257, 4, height), (258, 3, 8), (259, 3, 8), (273, 4, 8), (278, 4, height), (279, 4, len(body))])
+        (page,) = tiff.pages(file)
+        assert (page.error is None) if want is None else want in page.error
+
+
 def test_sixteen_bit_predictor_and_colour():
     values = np.random.default_rng(2).integers(0, 65536, (5, 4, 3), dtype=np.uint16)
     diff = np.diff(values, axis=1, prepend=np.zeros((5, 1, 3), np.uint16)).astype(">u2").tobytes()
@@ -89,6 +122,14 @@ def test_texts(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert r.media_bytes == len(tiff.stored(payload))
+        counts = np.array([payload.count(bytes([v])) for v in range(256)])
+        share = counts[counts > 0] / len(payload)
+        mean = sum(v * int(c) for v, c in enumerate(counts)) / len(payload)
+        told = dict(f.split("=") for f in r.feature.split(";"))
+        assert (int(told["rows"]), int(told["distinct"])) == (len(payload) // 64, len(share)) and told["octaves"] == "-".join(str(counts[k : k + 32].sum()) for k in range(0, 256, 32))
+        assert float(told["mean"]) == pytest.approx(mean, abs=1e-3) and float(told["entropy"]) == pytest.approx(-(share * np.log2(share)).sum(), abs=1e-3)
+        assert float(told["deviation"]) == pytest.approx(np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / len(payload)), abs=1e-3)
         assert r.media_sha256 == hashlib.sha256(tiff.stored(payload)).hexdigest()
     assert rows[3][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
     assert "pages=2" in rows[5].feature
