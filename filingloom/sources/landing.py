@@ -8,10 +8,14 @@ their name.
 
 from __future__ import annotations
 
+import datetime
+import io
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
@@ -66,19 +70,34 @@ class IndexReader(DataSourceReader):
         return [IndexPartition(p) for p in self.paths]
 
     def read(self, partition: IndexPartition) -> Iterator[pa.RecordBatch]:
-        import datetime
-
         names = [c.split()[0] for c in HANDLE.split(", ")]
-        rows = []
-        with open(partition.path.removeprefix("file://"), encoding="utf-8") as lines:
-            for line in lines:
-                r = json.loads(line) if line.strip() else None
-                if r and all(r.get(k) == v for k, v in self.equal.items()):
-                    r["period_end"] = datetime.date.fromisoformat(r["period_end"]) if r.get("period_end") else None
-                    rows.append([r.get(n) for n in names])
         kinds = [pa.date32() if n == "period_end" else pa.string() for n in names]
+        rows: list[list] = []
+        for line in lines_of(partition.path):
+            r = json.loads(line) if line.strip() else None
+            if r and all(r.get(k) == v for k, v in self.equal.items()):
+                r["period_end"] = datetime.date.fromisoformat(r["period_end"]) if r.get("period_end") else None
+                rows.append([r.get(n) for n in names])
+            if len(rows) == BATCH_ROWS:
+                yield _batch(rows, names, kinds)
+                rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield _batch(rows, names, kinds)
+
+
+BATCH_ROWS = 4_096
+
+
+def _batch(rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def lines_of(path: str) -> Iterator[str]:
+    """Lines of a file on any file system that Arrow opens by its address (local, hdfs, s3 and others)."""
+    address = re.sub("^file:/+", "file:///", path)
+    system, name = fs.FileSystem.from_uri(address) if re.match("[a-z0-9]+://", address) else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(name) as stream, io.TextIOWrapper(stream, encoding="utf-8") as text:
+        yield from text
 
 
 class FilingsIndex(DataSource):

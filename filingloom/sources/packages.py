@@ -1,7 +1,8 @@
 """Archives and report packages: ZIP files read through Spark's binary reader.
 
-An archive is one row; its entries leave it one at a time.  Nothing is
-fetched: files lie in a landing folder.
+An archive is one row, of 2 GB at most (Spark's binary reader refuses larger
+files); its entries leave it one at a time.  Nothing is fetched: files lie in a
+landing folder.
 """
 
 from __future__ import annotations

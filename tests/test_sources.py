@@ -56,6 +56,7 @@ def test_index_source(spark, tmp_path):
         paths.append(str(tmp_path / f"{i}.jsonl"))
     landing.register_sources(spark)
     index = spark.read.format("filings_index").option("paths", ",".join(paths)).load()
+    assert spark.read.format("filings_index").option("paths", f"file:{paths[0]},file://{paths[1]}").load().count() == 2
     assert index.count() == 2 and [r.ref for r in index.where("system = 'esef'").collect()] == ["b"]
 
 
@@ -79,6 +80,37 @@ def test_stream_ingests_once(spark, tmp_path):
     assert kept.table("documents").count() == 2 and kept.table("facts").count() == 2
 
 
+def test_a_batch_that_fails_leaves_the_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = Warehouse(spark, f"file://{tmp_path}/store")
+    row = ("companies_house", "companies_house", "99999999", "r1", "r1.html", "u", "ixbrl", UK)
+    filings = spark.createDataFrame([row], FILING)
+    assert store.add_documents(filings) == 1 and store.add_documents(filings) == 0
+    more = spark.createDataFrame([(*row[:3], f"r{i}", *row[4:]) for i in range(2, 40)], FILING).repartition(8, "ref")
+    broken = more.withColumn("document", F.when(F.col("ref") == "r31", F.raise_error(F.lit("lost"))).otherwise(F.col("document")))
+    before = sorted(str(p) for p in (tmp_path / "store").rglob("*.parquet"))
+    try:
+        store.add_documents(broken)
+        raise AssertionError("the batch should have failed")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert sorted(str(p) for p in (tmp_path / "store").rglob("*.parquet")) == before and store.table("documents").count() == 1
+    assert store.add_documents(more) == 38 and store.table("documents").count() == 39 and not list((tmp_path / "store").glob("_staged*"))
+
+
+def test_other_sources(spark):
+    from filingloom.operators import parity
+
+    day = "date'2024-12-31'"
+    facts = spark.sql(f"""select * from values ('a', 'c:X', 'USD', {day}, '{{}}', 'k1', 'u', 100.0), ('a', 'c:X', 'USD', date_add({day}, 1), '{{}}', 'k0', 'u', 7.0), ('a', 'c:Y', 'USD/shares', {day}, '{{}}', 'k', 'u', 0.5),
+      ('a', 'c:Z', 'USD', {day}, '{{"d":"m"}}', 'k', 'u', 3.0) as t(accession, concept, unit, period_end, dimensions, context_ref, unit_ref, value)""")
+    asked = spark.sql(f"""select * from values ('a', 'c:X', 'iso4217:USD', {day}, 100.005), ('a', 'c:X', 'USD', date_add({day}, 2), 7.5), ('a', 'c:Y', 'iso4217:USD/xbrli:shares', null, 0.50001), ('a', 'c:Z', 'USD', {day}, 3.0), ('b', 'c:X', 'USD', {day}, 1.0)
+      as t(accession, concept, unit, period_end, value)""")
+    got = {(r.accession, r.concept, str(r.period_end)): (r.value, r.match) for r in parity.against_reference(facts, asked).collect()}
+    assert got == {("a", "c:X", "2024-12-31"): (100.0, True), ("a", "c:X", "2025-01-02"): (7.0, False), ("a", "c:Y", "None"): (0.5, True), ("a", "c:Z", "2024-12-31"): (None, False), ("b", "c:X", "2024-12-31"): (None, False)}
+
+
 def test_listings(spark):
     hits = '{"hits":{"hits":[{"_id":"0001-24-1:doc.htm","_score":2.5,"_source":{"ciks":["0000000001"],"display_names":["Acme Corp  (ACM)  (CIK 0000000001)"],"form":"10-K","period_ending":"2024-01-31","file_date":"2024-03-01","adsh":"0001-24-1"}}]}}'
     (hit,) = listing.search_hits(spark.createDataFrame([(hits,)], "json string")).collect()
