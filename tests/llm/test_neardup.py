@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from filingloom.llm import components as cc
-from filingloom.llm import neardup, shingles
+from filingloom.llm import common, neardup, shingles
 from filingloom.llm.common import Scratch
 
 
@@ -125,3 +125,15 @@ def test_candidates_without_a_link(spark):
     assert got.count() == 0
     same = cc.connected(spark.createDataFrame([(1, 1)], "a long, b long"), "a", "b", Scratch(spark, "cc"))
     assert same.count() == 0
+
+
+def test_hot_values_hubs_and_copies(spark, monkeypatch):
+    # every key with more than three rows counts as hot, and a hub's set meets three candidates at a time
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(neardup, "GROUP", 3)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.004 else f"x{i}" for w in words)) for i in range(60)]
+    rows += [(100 + i, " ".join(words)) for i in range(40)] + [(None, " ".join(words))] * 5
+    rows += [(200 + i, " ".join(words[:40] + [f"y{i}-{j}" for j in range(60)])) for i in range(30)]
+    check(spark, rows)
