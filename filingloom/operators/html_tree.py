@@ -170,18 +170,33 @@ def rows(table: Element) -> list[tuple[str, list[Element]]]:
     return out
 
 
+#: The months by which a cell is known for a date.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def is_figure(text: str) -> bool:
+    """Whether a cell holds a grouped number that a sign in a column of its own may precede."""
+    digits = sum(c.isdigit() for c in text)
+    return "," in text and 2 * digits > len(text) and text[0] != "$" and not any(m in text.lower() for m in MONTHS)
+
+
 def grid(table: Element) -> list[list[str]]:
-    """Cell texts with spans laid out: a cell's text stands at its first place, the others are empty."""
+    """Cell texts with spans laid out: a cell's text stands at its first place, the others are empty.
+
+    Below two rows of headings a figure over two columns stands in the second,
+    in line with figures that have a sign before them.
+    """
     laid: list[dict[int, str]] = []
     held: dict[int, tuple[int, int]] = {}
-    for _, cells in rows(table):
+    for place, (_, cells) in enumerate(rows(table)):
         line: dict[int, str] = {}
         at = 0
         taken = {c for c, (left, _) in held.items() if left > 0}
         for cell in cells:
             while at in taken:
                 at += 1
-            line[at] = cell.text()
+            text = cell.text()
+            line[at + (place > 1 and span(cell, "colspan") == 2 and is_figure(text))] = text
             for i in range(at, at + span(cell, "colspan")):
                 if span(cell, "rowspan") > 1:
                     held[i] = (span(cell, "rowspan"), 0)
@@ -426,7 +441,14 @@ def cells(docs: DataFrame, *, nested: bool = True, **columns: str) -> DataFrame:
     return per_document(docs, partial(cell_rows, nested=nested), CELL, **columns)
 
 
-TABLE = "table_id int, type string, n_rows int, n_cols int, caption string, text string, grid array<array<string>>"
+TABLE = "table_id int, type string, n_rows int, n_cols int, caption string, text string, grid array<array<string>>, indents array<int>"
+
+
+def indents(table: Element) -> list[int] | None:
+    """White space before the first cell's text in each row that has cells; None where no row has any."""
+    first = ["".join(cells[0].strings()) for _, cells in rows(table) if cells]
+    found = [len(text) - len(text.lstrip()) for text in first]
+    return found if any(found) else None
 
 
 def table_rows(html: str) -> list[tuple]:
@@ -434,7 +456,7 @@ def table_rows(html: str) -> list[tuple]:
     for t, table in enumerate(tables(parse(html), nested=True)):
         lines = grid(table)
         caption = " ".join(c.text() for c in table.children if isinstance(c, Element) and c.tag == "caption")
-        out.append((t, table_type(lines, caption), len(lines), max([len(x) for x in lines], default=0), caption, render_table(lines), lines))
+        out.append((t, table_type(lines, caption), len(lines), max([len(x) for x in lines], default=0), caption, render_table(lines), lines, indents(table)))
     return out
 
 
@@ -457,9 +479,16 @@ def text_blocks(docs: DataFrame, **columns: str) -> DataFrame:
     return per_document(docs, lambda html: [(i, *b) for i, b in enumerate(blocks(parse(html)))], BLOCKS, **columns)
 
 
-def document_text(docs: DataFrame, **columns: str) -> DataFrame:
-    """(ref, text): a document's blocks with blank lines between, navigation lines that repeat left out."""
+def document_text(docs: DataFrame, *, tables: bool = True, most: int | None = None, **columns: str) -> DataFrame:
+    """(ref, text): a document's blocks with blank lines between, navigation lines that repeat left out.
+
+    Without ``tables`` their blocks are left out; ``most`` shortens a text at a sentence, line or word.
+    """
+    from filingloom.functions.text import shortened
     from filingloom.operators.windows import navigation_lines
 
-    lines = navigation_lines(text_blocks(docs, **columns).withColumn("line", F.lower("text")), by=["ref"], order="block", line="line", least=5, keep=2)
-    return lines.groupBy("ref").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "text")))["text"], "\n\n").alias("text"))
+    found = text_blocks(docs, **columns)
+    found = found if tables else found.where("kind <> 'table'")
+    lines = navigation_lines(found.withColumn("line", F.lower("text")), by=["ref"], order="block", line="line", least=5, keep=2)
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("block", "text")))["text"], "\n\n")
+    return lines.groupBy("ref").agg((whole if most is None else shortened(whole, most)).alias("text"))

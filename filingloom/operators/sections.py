@@ -189,6 +189,20 @@ def marks_of(root: Element) -> list[tuple]:
     return out
 
 
+def bounds_of(root: Element) -> list[tuple[int, int, int]]:
+    """(start, stop, entries) of the linked table of contents in the document's text: from its first link to the end of its last."""
+    linear, text = _linear(root)
+    targets = {e.attrs[name] for e, _ in linear for name in ("id", "name") if e.attrs.get(name)}
+    wanted = {anchor for anchor, _, item, _ in contents(root) if item and anchor in targets}
+    links = [(at, at + len("".join(e.strings()))) for e, at in linear if e.tag == "a" and e.attrs.get("href", "").strip()[1:] in wanted and e.text()]
+    return [(min(a for a, _ in links), max(b for _, b in links), len(wanted))] if len(wanted) > 1 else []
+
+
+def contents_bounds(docs: DataFrame, **columns: str) -> DataFrame:
+    """(ref, start, stop, entries): where a document's linked table of contents lies in its text."""
+    return per_document(docs, lambda html: bounds_of(parse(html)), "start int, stop int, entries int", **columns)
+
+
 def contents_sections(docs: DataFrame, **columns: str) -> DataFrame:
     """(ref and MARK) of documents with a linked table of contents."""
     return per_document(docs, mark_rows, MARK, **columns)

@@ -18,7 +18,8 @@ from filingloom.functions.numbers import months as months_of
 from filingloom.operators.xbrl import first_of
 from filingloom.schemas import WAREHOUSE_DOCUMENT, WAREHOUSE_EXTRACTION, WAREHOUSE_FACT
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
+MARKER = "_schema"
 KEYS = {"facts": ["fact_key"], "documents": ["accession", "document"], "extractions": ["accession", "selector"]}
 SCHEMAS = {"facts": WAREHOUSE_FACT, "documents": WAREHOUSE_DOCUMENT, "extractions": WAREHOUSE_EXTRACTION}
 
@@ -60,6 +61,22 @@ class Warehouse:
         self.spark, self.path = spark, path.rstrip("/")
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def version(self) -> int | None:
+        """The schema version that the folder was written with; None for a new one."""
+        marker = self._path(f"{self.path}/{MARKER}")
+        if not self._fs.exists(marker):
+            return None
+        names = [f.getPath().getName() for f in self._fs.listStatus(marker)]
+        return max(int(n) for n in names)
+
+    def _mark(self) -> None:
+        """Marks a new folder with the schema version; another version than this is an error."""
+        found = self.version()
+        if found is None:
+            self._fs.mkdirs(self._path(f"{self.path}/{MARKER}/{SCHEMA_VERSION}"))
+        elif found != SCHEMA_VERSION:
+            raise ValueError(f"the warehouse has schema version {found}, this engine writes {SCHEMA_VERSION}")
+
     def _path(self, path: str) -> object:
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -83,6 +100,7 @@ class Warehouse:
         """
         from pyspark.sql import Observation
 
+        self._mark()
         columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         rows = batch.select(columns).withColumn("bucket", bucket_of(F.col("cik")))
         stored = None

@@ -508,3 +508,27 @@ def aif_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     front = "front matter " * 500
     page = text("<p>", F.lit(front), "</p><p>see RISK FACTORS</p><h2>CORPORATE STRUCTURE</h2><p>", F.col("s_name"), F.lit(" word" * 60), "</p><h2>RISK FACTORS</h2><p>risk ", F.col("s_suppkey").cast("string"), "</p>")
     return sections.aif_sections(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ref"), page.alias("content"))).select("ref", "item", "text")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS ref, CASE WHEN p_retailprice >= 1000 THEN 1 ELSE 0 END::INTEGER AS col, [0, 0, p_size::INTEGER] AS indents FROM part WHERE p_size > 0""")
+def numeric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A figure with a thousands comma over two columns stands in the second one; rows are indented as their first cell is."""
+    price = F.format_number("p_retailprice", 2)
+    page = text("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td colspan=2>", F.repeat(F.lit(" "), F.col("p_size")), price, "</td><td>z</td></tr></table>")
+    found = html_tree.document_tables(table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_partkey").cast("string").alias("ref"), page.alias("content")))
+    return found.select("ref", F.when(F.get(F.get("grid", F.lit(2)), F.lit(0)) == "", 1).otherwise(0).alias("col"), "indents")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS ref, 'First of ' || s_suppkey || '.' AS text FROM supplier""")
+def shortened_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without tables, cut behind the first sentence, which ends in the last fifth of what fits."""
+    key = F.col("s_suppkey").cast("string")
+    page = text("<table><tr><td>left out</td></tr></table><p>First of ", key, ". ", F.lit("second part and more " * 5), "</p>")
+    return html_tree.document_text(table(spark, sf_dir, "supplier").select(key.alias("ref"), page.alias("content")), tables=False, most=13)
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS ref, 2::INTEGER AS entries, true AS before_sections FROM customer""")
+def contents_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _annual_reports(spark, sf_dir, "contents")
+    first = sections.contents_sections(docs).groupBy("ref").agg(F.min("place").alias("first"))
+    return sections.contents_bounds(docs).join(first, "ref").select("ref", "entries", (F.col("start") < F.col("stop")).alias("ordered"), (F.col("stop") <= F.col("first")).alias("before")).select("ref", "entries", F.expr("ordered and before").alias("before_sections"))

@@ -27,6 +27,15 @@ def test_spans_and_types():
     assert [html_tree.amount(t) for t in ("—", "$1,234", "(5.5)", "12%", "x", "", "US$7")] == [0.0, 1234.0, -5.5, 12.0, None, None, 7.0]
 
 
+def test_figures_over_two_columns():
+    head = "<tr><th>a</th><th>b</th></tr>" * 2
+    shown = lambda cell: grid(html_tree.tables(parse(f"<table>{head}<tr>{cell}<td>z</td></tr></table>"))[0])[2]
+    assert shown("<td colspan=2>1,234</td>") == ["", "1,234", "z"]
+    for cell in ("$1,234", "1234", "May 5, 2024", "about 1,234 in all", ""):
+        assert shown(f"<td colspan=2>{cell}</td>") == [cell, "", "z"]
+    assert grid(html_tree.tables(parse("<table><tr><td colspan=2>1,234</td></tr></table>"))[0]) == [["1,234", ""]]
+
+
 def test_rows_of_documents(spark):
     page = "<html><body><h2 id='t'>Title</h2><p>Some <b>text</b> <a href='#x'>link</a></p><table><tr><td>Total</td><td>5</td></tr></table></body></html>"
     table = docs(spark, page, None, "")

@@ -99,6 +99,19 @@ def test_a_batch_that_fails_leaves_the_table(spark, tmp_path):
     assert store.add_documents(more) == 38 and store.table("documents").count() == 39 and not list((tmp_path / "store").glob("_staged*"))
 
 
+def test_schema_marker(spark, tmp_path):
+    store = Warehouse(spark, f"file://{tmp_path}/store")
+    row = ("companies_house", "companies_house", "99999999", "r1", "r1.html", "u", "ixbrl", UK)
+    assert store.version() is None and store.add_documents(spark.createDataFrame([row], FILING)) == 1
+    assert store.version() == Warehouse(spark, f"file://{tmp_path}/store").version() is not None
+    (tmp_path / "store" / "_schema" / "999").mkdir()
+    try:
+        store.add_documents(spark.createDataFrame([row], FILING))
+        raise AssertionError("another version should be refused")
+    except ValueError as e:
+        assert "999" in str(e)
+
+
 def test_other_sources(spark):
     from filingloom.operators import parity
 
