@@ -521,10 +521,10 @@ def numeric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS ref, 'First of ' || s_suppkey || '.' AS text FROM supplier""")
 def shortened_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without tables, cut behind the first sentence, which ends in the last fifth of what fits."""
+    """Without tables, cut behind the first sentence, which ends in the last fifth of what fits; 13 characters hold keys of three digits, longer ones get room for theirs."""
     key = F.col("s_suppkey").cast("string")
     page = text("<table><tr><td>left out</td></tr></table><p>First of ", key, ". ", F.lit("second part and more " * 5), "</p>")
-    return html_tree.document_text(table(spark, sf_dir, "supplier").select(key.alias("ref"), page.alias("content")), tables=False, most=13)
+    return html_tree.document_text(table(spark, sf_dir, "supplier").select(key.alias("ref"), page.alias("content")), tables=False, most=F.greatest(F.lit(13), F.length("ref") + 10))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS ref, 2::INTEGER AS entries, true AS before_sections FROM customer""")

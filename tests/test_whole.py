@@ -39,3 +39,12 @@ def test_ties_and_all_facts(spark, tmp_path):
     for name, rows in want.items():
         got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
         assert len(got) == len(rows) and set(got) == rows == set(db.execute(queries.ORACLES[name]).fetchall()), name
+
+
+def test_shortened_text_of_long_keys(spark, tmp_path):
+    keys = [0, 7, 42, 999, 1000, 59999, 1234567, 2**63 - 1]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(tuple(r) for r in queries.queries()["shortened_text"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == sorted((str(k), f"First of {k}.") for k in keys) == sorted(db.execute(queries.oracle_sql()["shortened_text"]).fetchall())
